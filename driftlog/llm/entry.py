@@ -5,6 +5,16 @@ from __future__ import annotations
 from .binary_output import encode_to_files
 from .common import documents
 from .packing import pack
+from .quality import quality
+from .toxicity import toxicity
+
+
+def _labels(spark, sf_dir):
+    return spark.read.parquet(f"{sf_dir}/labels.parquet")
+
+
+def op2_quality_embeddings(spark, sf_dir):
+    return quality(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
 def op3_best_fit_packing(spark, sf_dir):
@@ -15,6 +25,10 @@ def op5_token_binary(spark, sf_dir):
     return encode_to_files(documents(spark, sf_dir))
 
 
+def op6_toxicity_grammar(spark, sf_dir):
+    return toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
