@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .binary_output import encode_to_files
 from .common import documents
+from .fingerprints import fingerprint
 from .packing import pack
 from .quality import quality
 from .toxicity import toxicity
@@ -29,6 +30,10 @@ def op6_toxicity_grammar(spark, sf_dir):
     return toxicity(documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+def op7_winnowing(spark, sf_dir):
+    return fingerprint(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
