@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from .binary_output import encode_to_files
 from .common import documents
+from .decontamination import contaminated
 from .fingerprints import fingerprint
+from .licenses import scan
 from .packing import pack
 from .quality import quality
 from .toxicity import toxicity
@@ -34,6 +36,14 @@ def op7_winnowing(spark, sf_dir):
     return fingerprint(documents(spark, sf_dir))
 
 
+def op9_benchmark_decontamination(spark, sf_dir):
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def op10_license_scan(spark, sf_dir):
+    return scan(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
