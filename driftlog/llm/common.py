@@ -73,3 +73,98 @@ def id_crc(col: Column) -> Column:
 def rows_of(batch) -> Iterator[tuple]:
     """The rows of an Arrow batch as tuples of Python values."""
     return zip(*(c.to_pylist() for c in batch.columns))
+
+
+def small(df: DataFrame, row_bytes: int, most_mb: int = 64) -> bool:
+    """Whether a written table of rows of about `row_bytes` may be broadcast."""
+    return df.count() * row_bytes <= most_mb << 20
+
+
+def pick_texts(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
+    """A written table key, text of the documents whose `key` is in `keys`, one row a key; the keys are broadcast if small."""
+    keyed = docs.select(key.alias("key"), "text")
+    side = F.broadcast(keys) if small(keys, 64) else keys
+    return written(keyed.join(side, "key", "left_semi").dropDuplicates(["key"]), "texts")
+
+
+def compare(pairs: DataFrame, found: DataFrame, judge, schema: str, share: int = 512) -> DataFrame:
+    """judge(center text, rows of (a, b, payload, text of b)) -> rows of `schema`, for the pairs (a, b, payload string).
+
+    The members of a center `a` stream past it, its text sent once for each `share` of them: a hot center is dealt over many
+    tasks, and a task holds one center's text and one batch. `found` has key and text.
+    """
+    import pyarrow as pa
+
+    n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
+    members = pairs.join(parts, "a").join(found.withColumnRenamed("key", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "b", "payload", "text")
+    centers = parts.join(found.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast(dict(pairs.dtypes)["b"]).alias("b"), F.lit(None).cast("string").alias("payload"), "text")
+    both = centers.unionByName(members).repartition(n, "a", "part").sortWithinPartitions("a", "part", "kind", "b")
+
+    def run(batches):
+        see, kind = judge(), None
+        for batch in batches:
+            out = []
+            for a, _, is_member, b, payload, text in rows_of(batch):
+                if not is_member:
+                    see.center(text)
+                else:
+                    out.extend(see.member(a, b, payload, text))
+            if out:
+                kind = kind or _arrow(schema)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kind.types)], schema=kind)
+
+    return both.mapInArrow(run, schema)
+
+
+def _arrow(schema: str):
+    """An Arrow schema of a DDL string of plain types."""
+    import pyarrow as pa
+
+    kinds = {"binary": pa.binary(), "long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}
+    return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in schema.split(","))])
+
+
+class WordHashes(dict):
+    """Word -> 64-bit hash, bounded."""
+
+    def __init__(self, limit: int = 400_000):
+        self.limit = limit
+
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        if len(self) >= self.limit:
+            self.clear()
+        found = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        if len(word) <= 64:
+            self[word] = found
+        return found
+
+    def array(self, words: list[str]):
+        import numpy as np
+
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def mix(x):
+    """A 64-bit finaliser over numpy's unsigned integers."""
+    import numpy as np
+
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def rolled(hashes, size: int):
+    """Hashes of the runs of `size` word hashes; of all of them where there are fewer, if any."""
+    import numpy as np
+
+    n = len(hashes)
+    if not n:
+        return hashes
+    size, factor, one = min(size, n), np.uint64(0x9E3779B97F4A7C15), np.uint64(1)
+    out = np.zeros(n - size + 1, np.uint64)
+    for i in range(size):
+        out = out * factor + hashes[i : n - size + 1 + i] + one
+    return mix(out)

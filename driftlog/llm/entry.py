@@ -7,6 +7,7 @@ from .common import documents
 from .decontamination import contaminated
 from .fingerprints import fingerprint
 from .licenses import scan
+from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality import quality
 from .toxicity import toxicity
@@ -44,6 +45,10 @@ def op10_license_scan(spark, sf_dir):
     return scan(documents(spark, sf_dir))
 
 
+def op4_bagminhash_near_dedup(spark, sf_dir):
+    return near_duplicates(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
