@@ -10,6 +10,7 @@ from .licenses import scan
 from .near_duplicates import near_duplicates
 from .packing import pack
 from .quality import quality
+from .repeats import repeated_passages
 from .toxicity import toxicity
 
 
@@ -49,6 +50,10 @@ def op4_bagminhash_near_dedup(spark, sf_dir):
     return near_duplicates(documents(spark, sf_dir))
 
 
+def op8_suffix_array_dedup(spark, sf_dir):
+    return repeated_passages(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
