@@ -9,6 +9,7 @@ from .fingerprints import fingerprint
 from .licenses import scan
 from .near_duplicates import near_duplicates
 from .packing import pack
+from .ppm import ppm_scores
 from .quality import quality
 from .repeats import repeated_passages
 from .toxicity import toxicity
@@ -18,6 +19,10 @@ def _labels(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def op1_ppm_scores(spark, sf_dir):
+    return ppm_scores(documents(spark, sf_dir))
+
+
 def op2_quality_embeddings(spark, sf_dir):
     return quality(documents(spark, sf_dir), _labels(spark, sf_dir))
 
