@@ -19,7 +19,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import texts, written
+from .common import small, texts, written
 
 _SIZE = 5
 
@@ -73,7 +73,9 @@ def items(benchmark: DataFrame) -> DataFrame:
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 23, small_mb: int = 64) -> DataFrame:
-    """A row for each document and item found in it: similarity, start and words of the best window (the first of the best).
+    """A row for each document (id and text hash th) and item found in it: similarity, start and words of the best window.
+
+    Of windows alike the first counts.
 
     The documents are read twice: for the places of item shingles (joined with the benchmark's shingles; Spark broadcasts
     them if they are small and else shuffles) and, for the documents with such places, for the windows' shingles. The window
@@ -108,4 +110,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     both = overlap(F.col("s"), F.col("item_s"))
     exact = near.withColumn("o", both).withColumn("similarity", F.col("o") / (F.size("s") + F.size("item_s") - F.col("o"))).where(F.col("similarity") >= threshold)
     best = exact.groupBy("doc_id", "th", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "m")).alias("best"))
-    return best.select("doc_id", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start"), F.col("best.m").cast("long").alias("n_words"))
+    return best.select("doc_id", "th", "item_id", F.col("best.similarity").alias("similarity"), (-F.col("best.back")).cast("long").alias("start"), F.col("best.m").cast("long").alias("n_words"))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
+    """`docs` without the documents that hold an item; the rows that go are broadcast if they are few."""
+    found = written(contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("_id"), F.col("th").alias("_gone")).distinct(), "contaminated")
+    side = F.broadcast(found) if small(found, 32) else found
+    hashed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    left = hashed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gone")), "left_anti")
+    return left.select(*[F.col(f"`{c}`") for c in docs.columns])

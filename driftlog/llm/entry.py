@@ -44,7 +44,7 @@ def op7_winnowing(spark, sf_dir):
 
 
 def op9_benchmark_decontamination(spark, sf_dir):
-    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("th")
 
 
 def op10_license_scan(spark, sf_dir):
@@ -52,7 +52,7 @@ def op10_license_scan(spark, sf_dir):
 
 
 def op4_bagminhash_near_dedup(spark, sf_dir):
-    return near_duplicates(documents(spark, sf_dir))
+    return near_duplicates(documents(spark, sf_dir)).select("doc_id", "class_id")
 
 
 def op8_suffix_array_dedup(spark, sf_dir):

@@ -69,11 +69,10 @@ def signatures(shingles: list, m: int):
 
 
 def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
-    """doc_id, th (128-bit text hash), n (shingles) and band keys of each document; no shuffle."""
+    """doc_id, th, n (shingles) and band keys of each document; no shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
-        import xxhash
 
         hashes = WordHashes()
         turn = mix(np.arange(1, bands * rows + 1, dtype=np.uint64)).reshape(bands, rows)
@@ -90,9 +89,9 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
 
         for batch in batches:
             part, held = [], 0
-            for doc_id, text in rows_of(batch):
+            for doc_id, text, th in rows_of(batch):
                 s = rolled(hashes.array(text.lower().split()), SHINGLE)
-                part.append((doc_id, xxhash.xxh128_digest(text.encode("utf-8", "surrogatepass")), s))
+                part.append((doc_id, th, s))
                 held += len(s)
                 if held > 200_000:
                     yield out(part)
@@ -138,16 +137,21 @@ def _alike(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     return written(out, "links")
 
 
+def text_hash(text: str = "text"):
+    """128 bits of a text, null as empty."""
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, rows: int = 4) -> DataFrame:
-    """doc_id and class_id (the least doc_id of the class) of each document."""
-    docs = texts(docs)
+    """doc_id, th (hash of the text), class_id (the least doc_id of the class) and kept (one id and text a class) of each document."""
+    docs = texts(docs).withColumn("th", text_hash())
     signed = written(banded(docs, bands, rows), "signatures")
     one = signed.dropDuplicates(["th"])
     keyed = one.select("th", "n", F.posexplode("bands").alias("band", "key"))
     many = keyed.groupBy("band", "key").agg(F.count("*").alias("company")).where("company > 1")
     members = written(keyed.join(many, ["band", "key"]).select("band", "key", "th", "n", "company"), "members")
 
-    found = pick_texts(_with_hash(docs), written(members.select(F.col("th").alias("key")).distinct(), "keys"), F.col("th"))
+    found = pick_texts(docs, written(members.select(F.col("th").alias("key")).distinct(), "keys"), F.col("th"))
     company = members.groupBy("th").agg(F.sum("company").alias("all"))
     ranked = members.join(company, "th").select("band", "key", "th", "n", F.struct("all", "th", "n").alias("rank"))
     centers = ranked.groupBy("band", "key").agg(F.max("rank").alias("c"))
@@ -171,20 +175,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
         return links.join(roots.select(F.col("u").alias(c), F.col("root").alias("r")), c, "left").withColumn(c, F.coalesce("r", c)).drop("r")
 
     tops = components(root_of(root_of(more, "a"), "b").select(F.col("a").alias("u"), F.col("b").alias("v")))
-    named = signed.select("doc_id", "th").join(roots.select(F.col("u").alias("th"), "root"), "th", "left").select("doc_id", F.coalesce("root", "th").alias("root"))
-    named = named.join(tops.select(F.col("u").alias("root"), F.col("root").alias("top")), "root", "left").select("doc_id", F.coalesce("top", "root").alias("class"))
-    least = named.groupBy("class").agg(F.min("doc_id").alias("class_id"))
-    return named.join(least, "class").select("doc_id", "class_id")
-
-
-def _with_hash(docs: DataFrame) -> DataFrame:
-    """text and its 128-bit hash, as banded() has it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
-        for batch in batches:
-            texts_ = batch.column(1)
-            yield pa.record_batch([pa.array([xxhash.xxh128_digest(t.encode("utf-8", "surrogatepass")) for t in texts_.to_pylist()], pa.binary()), texts_], names=["th", "text"])
-
-    return docs.mapInArrow(run, "th binary, text string")
+    named = signed.select("doc_id", "th").join(roots.select(F.col("u").alias("th"), "root"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
+    named = named.join(tops.select(F.col("u").alias("root"), F.col("root").alias("top")), "root", "left").select("doc_id", "th", F.coalesce("top", "root").alias("class"))
+    first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
+    least = named.groupBy("class").agg(F.min(first).alias("first"))
+    return named.join(least, "class").select("doc_id", "th", F.col("first.doc_id").alias("class_id"), first.eqNullSafe(F.col("first")).alias("kept"))
+
+
+def one_of_each(docs: DataFrame, **params) -> DataFrame:
+    """`docs` with one row of each class; the rows that go are joined out by id and text hash."""
+    marks = written(near_duplicates(docs, **params), "classes")
+    gone = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_gone")).distinct()
+    names = [F.col(f"`{c}`") for c in docs.columns]
+    hashed = docs.withColumn("_th", text_hash())
+    left = hashed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gone")), "left_anti")
+    if not marks.where("kept").groupBy("doc_id", "th").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["doc_id", "_th"])
+    return left.select(*names)

@@ -197,16 +197,32 @@ def _fit(rows: list[tuple[float, float, float]]) -> tuple[float, float, float]:
     return tuple(float(v) for v in w)
 
 
+def probability(match: tuple[float, float], weights: tuple[float, float, float]) -> float:
+    z = weights[0] + weights[1] * min(match[0], 8) + weights[2] * math.log1p(match[1])
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **params) -> DataFrame:
+    """`docs` without the documents scored at `threshold` or more; no shuffle."""
+    model, at = learn(docs, labels, **params), docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        match = Scorer(model["words"], model["stems"])
+        for batch in batches:
+            yield batch.filter(pa.array([probability(match(t or ""), model["map"]) < threshold for t in batch.column(at).to_pylist()], pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """doc_id, score and predicted of each document; no shuffle. The model is bounded by its parameters and sent with the tasks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        match, (a, b, c) = Scorer(model["words"], model["stems"]), model["map"]
+        match = Scorer(model["words"], model["stems"])
         for batch in batches:
             out = []
             for doc_id, text in rows_of(batch):
-                best, total = match(text)
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * min(best, 8) + c * math.log1p(total)))))
+                p = probability(match(text), model["map"])
                 out.append((doc_id, p, int(p >= threshold)))
             if out:
                 yield pa.record_batch([pa.array(v, t) for v, t in zip(zip(*out), (pa.int64(), pa.float64(), pa.int32()))], names=["doc_id", "score", "predicted"])
