@@ -1,13 +1,13 @@
 """Benchmark decontamination in DataFrame functions only: SimHash of item-sized windows, Hamming blocks, exact check.
 
 A benchmark item of m words is compared with windows of m words of each document. Only windows that share a shingle with some
-item at its place there are formed: a window without any common shingle has similarity 0, so nothing over the threshold is
-lost. Windows and items get 64-bit SimHash fingerprints of their word shingles, each as often as it occurs. A fingerprint has
+item at its place there are formed. A window of n shingles with similarity 0.8 lacks at most n / 9 of them, so every fourth
+shingle of a document is enough to find it where the item has four or more; all are taken for shorter items. Windows and items get 64-bit SimHash fingerprints of their word shingles, each as often as it occurs. A fingerprint has
 eight blocks of eight bits; within `radius` 23 some block differs in at most two bits, so a join of the windows' blocks with
 the items' blocks in all 37 spellings finds every pair within the radius. Shingle multisets then decide: weighted Jaccard of
 `threshold` or more.
 
-Words are runs of letters and digits, lower-cased. Shingles have five words; an item of fewer words is one shingle. Items
+Words are runs of ASCII letters, digits and characters beyond ASCII, lower-cased. Shingles have five words; an item of fewer words is one shingle. Items
 without words match nothing. Null texts: as empty. Null ids stay null. Repeated documents: a row for each distinct text of an
 id. Documents shorter than an item: the whole document is the window. Empty tables: an empty result. Other columns are ignored.
 """
@@ -25,31 +25,53 @@ _SIZE = 5
 
 
 def words(text: str) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), "")
 
 
-def shingles(col: str, size: int) -> Column:
-    """Hashes of the runs of `size` words; of all words where there are fewer, if any. Word hashes are rolled by zip_with."""
-    n = F.size(col)
-    out = col
-    for step in range(1, size):
-        out = F.zip_with(F.slice(out, F.lit(1), F.greatest(n - step, F.lit(0))), F.slice(col, F.lit(step + 1), F.greatest(n - step, F.lit(0))), lambda a, b: F.xxhash64(a, b))
-    return F.when(n >= size, out if size > 1 else F.col(col)).when(n > 0, F.array(F.xxhash64(F.col(col)))).otherwise(F.array().cast("array<bigint>"))
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once: the optimizer does not copy it into the places of its use."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def simhash(col: Column) -> Column:
-    """Bit b is set where more than half of the hashes have it."""
-    size = F.size(col)
+def shingles(h: Column, size: int, step: int = 1) -> Column:
+    """Hashes of every `step`-th run of `size` word hashes; of all words where there are fewer, if any. `h` is bound by let()."""
+    n = F.size(h)
 
-    def bit(b: Column) -> Column:
-        ones = F.aggregate(col, F.lit(0), lambda n, h: n + F.when(h.bitwiseAND(F.element_at(_masks(), b + 1)) != 0, 1).otherwise(0))
-        return F.when(ones * 2 > size, F.element_at(_masks(), b + 1)).otherwise(F.lit(0).cast("bigint"))
+    def roll(i: Column) -> Column:
+        out = F.element_at(h, i)
+        for j in range(1, size):
+            out = F.xxhash64(out, F.element_at(h, i + j))
+        return out
 
-    return F.aggregate(F.transform(F.sequence(F.lit(0), F.lit(63)), bit), F.lit(0).cast("bigint"), lambda x, y: x.bitwiseOR(y))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1), F.lit(step)), roll)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
 
-def _masks() -> Column:
-    return F.array(*[F.lit(1 << b if b < 63 else -(1 << 63)).cast("bigint") for b in range(64)])
+def shingles_of(h: Column, k: Column) -> Column:
+    """shingles() of `k` words, k a column of 1 to 5."""
+    out = F.when(k == _SIZE, shingles(h, _SIZE))
+    for size in range(1, _SIZE):
+        out = out.when(k == size, shingles(h, size))
+    return out
+
+
+def simhash(col: str) -> Column:
+    """The fingerprint of the hashes in `col`: bit b is set where more than half of them have it.
+
+    Two bits are counted at once, in the halves of a long.
+    """
+    lanes, one, none = (F.lit(x).cast("bigint") for x in ((1 << 32) | 1, 1, 0))
+
+    def whole(hashes: Column) -> Column:
+        counts = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda b: F.aggregate(hashes, none, lambda n, h: n + F.call_function("shiftrightunsigned", h, b).bitwiseAND(lanes)))
+
+        def bits(both: Column, b: Column) -> Column:
+            low = F.when(both.bitwiseAND(F.lit(0xFFFFFFFF)) * 2 > F.size(hashes), F.call_function("shiftleft", one, b)).otherwise(none)
+            high = F.when(F.shiftrightunsigned(both, 32) * 2 > F.size(hashes), F.call_function("shiftleft", one, b + 32)).otherwise(none)
+            return low.bitwiseOR(high)
+
+        return F.aggregate(F.transform(counts, bits), none, lambda x, y: x.bitwiseOR(y))
+
+    return let(F.col(col), whole)
 
 
 def _block(col: str, b: Column) -> Column:
@@ -64,12 +86,9 @@ def overlap(a: Column, b: Column) -> Column:
 
 def items(benchmark: DataFrame) -> DataFrame:
     """Each item with its number of words, shingle size, shingle hashes and fingerprint."""
-    df = benchmark.select("item_id", words("text").alias("w")).withColumn("m", F.size("w")).where("m > 0")
-    df = df.withColumn("h", F.transform("w", lambda w: F.xxhash64(w))).withColumn("k", F.least(F.col("m"), F.lit(_SIZE)))
-    of = F.when(F.col("k") == _SIZE, shingles("h", _SIZE))
-    for k in range(1, _SIZE):
-        of = of.when(F.col("k") == k, shingles("h", k))
-    return df.select("item_id", "m", "k", of.alias("s")).withColumn("f", simhash(F.col("s")))
+    df = benchmark.select("item_id", let(words("text"), lambda w: F.transform(w, lambda x: F.xxhash64(x))).alias("h")).withColumn("m", F.size("h")).where("m > 0")
+    df = df.withColumn("k", F.least(F.col("m"), F.lit(_SIZE)))
+    return df.select("item_id", "m", "k", let(F.col("h"), lambda h: shingles_of(h, F.col("k"))).alias("s")).withColumn("f", simhash("s"))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8, radius: int = 23, small_mb: int = 64) -> DataFrame:
@@ -82,30 +101,34 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     table is written; it is broadcast only if its files have at most `small_mb` MB, else the join shuffles.
     """
     bench = written(items(benchmark), "items")
-    hashed = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), F.transform(words("text"), lambda w: F.xxhash64(w)).alias("h"))
+    words_of = F.transform(words("text"), lambda w: F.xxhash64(w))
+    keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = None
-    for k in sorted(r["k"] for r in bench.select("k").distinct().collect()):
-        seeds = bench.where(F.col("k") == k).select("m", F.posexplode("s").alias("at", "g")).distinct()
-        grams = hashed.select("doc_id", "th", F.size("h").alias("n"), shingles("h", k).alias("s")).select("doc_id", "th", "n", F.posexplode("s").alias("pos", "g"))
-        hits = grams.join(seeds, "g").select("doc_id", "th", F.lit(k).alias("k"), "m", F.greatest(F.lit(0), F.least(F.col("pos") - F.col("at"), F.col("n") - F.col("m"))).alias("start"))
+    bench = bench.withColumn("step", F.when((F.size("s") >= 4) & F.lit(threshold >= 0.8), 4).otherwise(1))
+    for k, step in sorted((r["k"], r["step"]) for r in bench.select("k", "step").distinct().collect()):
+        seeds = bench.where((F.col("k") == k) & (F.col("step") == step)).select("m", F.posexplode("s").alias("at", "g")).distinct()
+        grams = keyed.select("doc_id", "th", F.posexplode(let(words_of, lambda h: shingles(h, k, step))).alias("pos", "g"))
+        hits = grams.join(seeds, "g").select("doc_id", "th", F.lit(k).alias("k"), "m", F.greatest(F.lit(0), F.col("pos") * step - F.col("at")).alias("start"))
         found = hits if found is None else found.union(hits)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "doc_id long, th long, k int, m int, start int")
     windows = written(found.distinct().groupBy("doc_id", "th").agg(F.collect_set(F.struct("k", "m", "start")).alias("at")), "windows")
     few = windows.selectExpr("count(*) n", "coalesce(sum(size(at)), 0) w").first()
     side = F.broadcast(windows) if few["n"] * 40 + few["w"] * 24 <= small_mb << 20 else windows
-    rows = hashed.join(side.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th"), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["doc_id", "th"])
-    shingled = F.array(*[shingles("h", k) for k in range(1, _SIZE + 1)])
-    rows = rows.select("doc_id", "th", "h", F.explode("at").alias("at")).select("doc_id", "th", "at.*", F.slice("h", F.col("at.start") + 1, F.col("at.m")).alias("h"))
-    rows = rows.select("doc_id", "th", "m", "start", F.element_at(shingled, F.col("k")).alias("s"))
-    marked = rows.withColumn("f", simhash(F.col("s")))
+    side = side.withColumnRenamed("doc_id", "_id").withColumnRenamed("th", "_th")
+    rows = keyed.join(side, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("th") == F.col("_th"))).dropDuplicates(["doc_id", "th"])
+    # the window's end is held within the document; the slices of all windows of a row come from one array of word hashes
+    cut = let(words_of, lambda h: F.transform("at", lambda w: let(F.greatest(F.lit(0), F.least(w["start"], F.size(h) - w["m"])), lambda start: F.struct(w["k"].alias("k"), w["m"].alias("m"), start.alias("start"), F.slice(h, start + 1, w["m"]).alias("h")))))
+    rows = rows.select("doc_id", "th", F.explode(F.array_distinct(cut)).alias("w")).select("doc_id", "th", "w.*")
+    rows = rows.select("doc_id", "th", "m", "start", let(F.col("h"), lambda h: shingles_of(h, F.col("k"))).alias("s"))
+    marked = rows.withColumn("f", simhash("s"))
 
     blocks = F.explode(F.sequence(F.lit(0), F.lit(7)))
     flips = [0, *(1 << b for b in range(8)), *((1 << a) | (1 << b) for a, b in combinations(range(8), 2))]
     spelled = bench.select("item_id", "m", F.col("s").alias("item_s"), F.col("f").alias("item_f"), blocks.alias("b")).select("*", F.explode(F.array(*map(F.lit, flips))).alias("flip"))
     spelled = spelled.select("item_id", "m", "item_s", "item_f", "b", _block("item_f", F.col("b")).bitwiseXOR(F.col("flip").cast("bigint")).alias("v"))
-    keyed = marked.select("*", blocks.alias("b")).withColumn("v", _block("f", F.col("b")))
-    near = keyed.join(spelled, ["m", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= radius)
+    asked = marked.select("*", blocks.alias("b")).withColumn("v", _block("f", F.col("b")))
+    near = asked.join(spelled, ["m", "b", "v"]).where(F.bit_count(F.col("f").bitwiseXOR(F.col("item_f"))) <= radius)
     near = near.dropDuplicates(["doc_id", "th", "m", "start", "item_id"])
     both = overlap(F.col("s"), F.col("item_s"))
     exact = near.withColumn("o", both).withColumn("similarity", F.col("o") / (F.size("s") + F.size("item_s") - F.col("o"))).where(F.col("similarity") >= threshold)
