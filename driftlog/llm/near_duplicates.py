@@ -8,8 +8,10 @@ weighted Jaccard similarity. Points are drawn in order up to a time by which all
 a document costs its shingles and a fixed number of points.
 
 Equal texts collapse first. Texts that agree in a band are candidates. In each band the text with the most company is the
-center; members are compared with it exactly. Then only pairs in a band from different components are still open, and all of
-those are compared, so no link between candidates is lost and groups of copies are never expanded into all their pairs.
+center; members are compared with it exactly. Then only pairs in a band from different components are still open: their
+signatures are compared in blocks of rows, and all pairs whose agreement is not four standard deviations below that of the
+threshold are compared exactly there, in the first band that they share, so groups of copies are never expanded into rows of
+pairs.
 
 Words are lower-cased text between white space. Texts of fewer than five words are one shingle. Null text: as empty; empty
 texts are equal texts. Null ids get the class id of their class (null if it has no other). Repeated rows: a row each. Empty
@@ -80,12 +82,14 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
         def out(part: list) -> pa.RecordBatch:
             full = [i for i, p in enumerate(part) if len(p[2])]
             keys: list = [[] for _ in part]
+            short = [b""] * len(part)
             if full:
                 bits = signatures([part[i][2] for i in full], bands * rows).view(np.uint64).reshape(-1, bands, rows)
                 own = mix(mix(bits ^ turn).sum(2, dtype=np.uint64) + turn[:, 0]).view(np.int64)
-                for i, k in zip(full, own):
-                    keys[i] = k.tolist()
-            return pa.record_batch([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.binary()), pa.array([len(p[2]) for p in part], pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["doc_id", "th", "n", "bands"])
+                low = mix(bits).astype("<u2").reshape(len(full), -1)
+                for i, k, x in zip(full, own, low):
+                    keys[i], short[i] = k.tolist(), x.tobytes()
+            return pa.record_batch([pa.array([p[0] for p in part], pa.int64()), pa.array([p[1] for p in part], pa.binary()), pa.array([len(p[2]) for p in part], pa.int64()), pa.array(keys, pa.list_(pa.int64())), pa.array(short, pa.binary())], names=["doc_id", "th", "n", "bands", "sig"])
 
         for batch in batches:
             part, held = [], 0
@@ -99,7 +103,7 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
             if part:
                 yield out(part)
 
-    return docs.mapInArrow(run, "doc_id long, th binary, n long, bands array<long>")
+    return docs.mapInArrow(run, "doc_id long, th binary, n long, bands array<long>, sig binary")
 
 
 class _Overlap:
@@ -108,27 +112,85 @@ class _Overlap:
     def __init__(self, threshold: float):
         self.threshold, self.hashes = threshold, WordHashes()
 
-    def _bag(self, text: str):
+    def bag_of(self, text: str):
         import numpy as np
 
         return np.unique(rolled(self.hashes.array(text.lower().split()), SHINGLE), return_counts=True)
 
+    def holds(self, x, y) -> bool:
+        import numpy as np
+
+        if not len(x[0]) or not len(y[0]):
+            return False
+        at = np.searchsorted(x[0], y[0])
+        at[at == len(x[0])] = 0
+        same = x[0][at] == y[0]
+        both = int(np.minimum(x[1][at], y[1])[same].sum())
+        return both >= self.threshold * (int(x[1].sum()) + int(y[1].sum()) - both)
+
     def center(self, text: str) -> None:
-        self.bag = self._bag(text)
-        self.size = int(self.bag[1].sum())
+        self.bag = self.bag_of(text)
 
     def member(self, a, b, payload, text):
+        if self.holds(self.bag, self.bag_of(text)):
+            yield a, b
+
+
+def _close(members: DataFrame, threshold: float, m: int, block: int = 512) -> DataFrame:
+    """Pairs (a, b) that hold, of a band's members (band, key, th, n, root, sig, bands, text) with different roots, and sizes and
+    signatures that allow it. A band's members are dealt into blocks of about `block` rows, and a task holds two blocks at a time."""
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    need = threshold * m - 4 * (m * threshold * (1 - threshold)) ** 0.5
+    blocks = members.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    dealt = members.join(blocks, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "n", "root", "sig", "bands", "text")
+
+    def pairs(rows: list, i: int, j: int, judge: _Overlap) -> list:
         import numpy as np
 
-        keys, counts = self._bag(text)
-        if not len(keys) or not self.size:
-            return
-        at = np.searchsorted(self.bag[0], keys)
-        at[at == len(self.bag[0])] = 0
-        same = self.bag[0][at] == keys
-        both = int(np.minimum(self.bag[1][at], counts)[same].sum())
-        if both >= self.threshold * (self.size + int(counts.sum()) - both):
-            yield a, b
+        sides = [[r for r in rows if r[4] == x] for x in (i, j)]
+        if not all(sides):
+            return []
+        sig = [np.frombuffer(b"".join(r[8] for r in s), "<u2").reshape(len(s), -1) for s in sides]
+        size = [np.array([r[6] for r in s], float) for s in sides]
+        number: dict = {}
+        root = [np.array([number.setdefault(r[7], len(number)) for r in s]) for s in sides]
+        same = np.zeros((len(sides[0]), len(sides[1])), np.int16)
+        for c in range(m):
+            same += sig[0][:, c][:, None] == sig[1][:, c][None, :]
+        ratio = np.minimum(size[0][:, None], size[1][None, :]) >= threshold * np.maximum(size[0][:, None], size[1][None, :])
+        hits = np.argwhere((same >= need) & ratio & (root[0][:, None] != root[1][None, :]))
+        keys = [np.array([r[9] for r in s]) for s in sides]
+        first = [(keys[0][x] == keys[1][y]).argmax() == rows[0][0] for x, y in hits]
+        bags: dict = {}
+
+        def bag(r):
+            if r[5] not in bags:
+                bags[r[5]] = judge.bag_of(r[10])
+            return bags[r[5]]
+
+        hits = [(sides[0][x], sides[1][y]) for (x, y), f in zip(hits.tolist(), first) if f and (i != j or x < y)]
+        return [tuple(sorted((a[5], b[5]))) for a, b in hits if judge.holds(bag(a), bag(b))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out, judge = None, [], [], _Overlap(threshold)
+        for batch in batches:
+            for row in rows_of(batch):
+                if row[:4] != at:
+                    if held:
+                        out += pairs(held, at[2], at[3], judge)
+                    at, held = row[:4], []
+                held.append(row)
+                if len(out) > 20_000:
+                    yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+                    out = []
+        if held:
+            out += pairs(held, at[2], at[3], judge)
+        if out:
+            yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
+
+    ordered = dealt.repartition(n, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
+    return ordered.mapInArrow(run, "a binary, b binary")
 
 
 def _alike(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
@@ -164,11 +226,8 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     placed = members.join(roots, members["th"] == roots["u"], "left").select("band", "key", "th", "n", F.coalesce("root", "th").alias("root"))
     mixed = placed.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "key")
     open_ = written(placed.join(mixed, ["band", "key"]), "open")
-    left, right = (open_.select("band", "key", *[F.col(c).alias(f"{c}_{s}") for c in ("th", "n", "root")]) for s in "xy")
-    cross = left.join(right, ["band", "key"]).where((F.col("th_x") < F.col("th_y")) & (F.col("root_x") != F.col("root_y")) & fits(F.col("n_x"), F.col("n_y")))
-    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    rest = written(cross.select(F.col("th_x").alias("a"), F.col("th_y").alias("b")).distinct().join(done, ["a", "b"], "left_anti"), "rest")
-    more = _alike(rest, found, threshold)
+    rows_ = open_.join(one.select("th", "sig", "bands"), "th").join(found.withColumnRenamed("key", "th"), "th")
+    more = written(_close(rows_, threshold, bands * rows).distinct(), "more")
 
     # the second set of components is over whole ones of the first
     def root_of(links: DataFrame, c: str) -> DataFrame:
