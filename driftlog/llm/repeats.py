@@ -3,8 +3,8 @@
 Of each document's suffixes (by words) only those at minimisers stay: the smallest hash of `anchor` words in every window of
 `window` places, the rightmost on ties. Two equal passages of anchor + window - 1 words (50) keep a suffix at the same place
 in both. The kept suffixes are range-sorted by the hash of their first words, document and place; equal neighbours form
-runs, and each suffix is matched with the first of its run. A run that crosses tasks is joined by the tasks' first rows, so
-a passage in a third of all documents is spread over many tasks. A match is then extended left and right, word by word, and
+runs, and each suffix is matched with the first of its run, also where the run crosses tasks (the tasks' first rows tell), so
+a passage in a third of all documents is spread over many tasks and the result is the same for any split. A match is then extended left and right, word by word, and
 holds if it has `least` words or more.
 
 Words are text between white space, as it is. Matches within one document are no repeats. Null text: as empty. Null ids come
@@ -92,10 +92,13 @@ _MATCH = "g long, key string, at int, first string, first_at int"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes: each that is not the first of its run with that first; and, without a first, the task's first row."""
+    """Of sorted suffixes: each that is not the first of its run with that first; and, without a first, the task's first row.
+
+    In the task's first run, which may have begun in an earlier task, suffixes of the first one's document are given too.
+    """
     import numpy as np
 
-    last, names = None, ["g", "key", "at", "first", "first_at"]
+    last, lead, names = None, None, ["g", "key", "at", "first", "first_at"]
     for batch in batches:
         g = batch.column(0).to_numpy()
         if not len(g):
@@ -103,6 +106,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         new = np.concatenate([[last is None or g[0] != last[0]], g[1:] != g[:-1]])
         out = []
         if last is None:
+            lead = g[0]
             out.append((int(g[0]), batch.column(1)[0].as_py(), batch.column(2)[0].as_py(), None, None))
         inside = np.flatnonzero(~new)
         start = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
@@ -110,7 +114,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i in inside.tolist():
             first = last if start[i] < 0 else (g[i], keys[int(start[i])].as_py(), at[int(start[i])].as_py())
             key = keys[i].as_py()
-            if key != first[1]:
+            if key != first[1] or g[i] == lead:
                 out.append((int(g[i]), key, at[i].as_py(), first[1], first[2]))
         if start[-1] >= 0:
             s = int(start[-1])
@@ -157,13 +161,11 @@ def repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW, least:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = written(kept_suffixes(docs, anchor, window), "suffixes")
     runs = written(kept.repartitionByRange(n, "g", "key", "at").sortWithinPartitions("g", "key", "at").mapInArrow(_neighbours, _MATCH), "runs")
-    inner = runs.where("first is not null")
-    edges = runs.where("first is null").select("g", "key", "at")
-    heads = edges.groupBy("g").agg(F.min(F.struct("key", "at")).alias("f"), F.count("*").alias("n"))
-    # a task's first row may continue the run of the tasks before it, which began at the least row with that hash
-    starts = kept.join(F.broadcast(heads.select("g")), "g").groupBy("g").agg(F.min(F.struct("key", "at")).alias("f"))
-    over = edges.join(starts, "g").where(F.col("f.key") != F.col("key")).select("g", "key", "at", F.col("f.key").alias("first"), F.col("f.at").alias("first_at"))
-    pairs = inner.union(over).groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "first_at"))), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["first_at"].cast("string"))), " ").alias("payload"))
+    # a task's first run may have begun before it, at the least row with that hash; there are at most as many such runs as tasks
+    heads = runs.where("first is null").select("g").distinct()
+    starts = kept.join(F.broadcast(heads), "g").groupBy("g").agg(F.min(F.struct("key", "at")).alias("f"))
+    matched = runs.join(F.broadcast(starts), "g", "left").select("key", "at", F.coalesce("f.key", "first").alias("first"), F.coalesce("f.at", "first_at").alias("first_at")).where("first != key")
+    pairs = matched.groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "first_at"))), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["first_at"].cast("string"))), " ").alias("payload"))
     pairs = written(pairs, "pairs")
     used = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
     found = pick_texts(_keyed(docs), used, F.col("key"))

@@ -198,6 +198,21 @@ def test_hot_passage_over_many_tasks(spark):
     assert {r.doc_id for r in got.collect()} == set(range(1, 300))
 
 
+def test_hot_passage_is_split_alike(spark):
+    """Matches are with the first of the whole run, however many tasks hold it; repeats within one document are none."""
+    passage = " ".join(f"p{i}" for i in range(60))
+    tail = F.concat_ws(" ", F.transform(F.sequence(F.lit(0), F.lit(30)), lambda i: F.concat(F.lit("t"), i.cast("string"), F.lit("of"), (F.col("id") % 40).cast("string"))))
+    hot = spark.range(300).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("own"), F.col("id").cast("string")), F.lit(passage), tail, F.lit(passage)).alias("text"))
+    before, got = spark.conf.get("spark.sql.shuffle.partitions"), []
+    try:
+        for n in (1, 3, 40):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got.append(sorted(map(tuple, repeats.repeated_passages(hot).collect())))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == set(range(1, 300)) and all(r[0] != r[1] for r in got[0])
+
+
 def test_decontamination(spark, docs, rows, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(900, "zero one two"), (901, ""), (902, None)], "item_id long, text string"))
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower())
