@@ -92,13 +92,15 @@ _MATCH = "g long, key string, at int, first string, first_at int"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted suffixes: each that is not the first of its run with that first; and, without a first, the task's first row.
+    """Of sorted suffixes: each that is not the first of its run with that first; and, without a first, the task's first row
+    and the first row of its last run, which may go on in later tasks.
 
     In the task's first run, which may have begun in an earlier task, suffixes of the first one's document are given too.
     """
     import numpy as np
 
     last, lead, names = None, None, ["g", "key", "at", "first", "first_at"]
+    kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
     for batch in batches:
         g = batch.column(0).to_numpy()
         if not len(g):
@@ -120,8 +122,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s = int(start[-1])
             last = (g[s], keys[s].as_py(), at[s].as_py())
         if out:
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+    if last is not None:
+        yield pa.record_batch([pa.array([c], t) for c, t in zip((*last, None, None), kinds)], names=names)
 
 
 class _Extend:
@@ -161,9 +164,8 @@ def repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW, least:
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = written(kept_suffixes(docs, anchor, window), "suffixes")
     runs = written(kept.repartitionByRange(n, "g", "key", "at").sortWithinPartitions("g", "key", "at").mapInArrow(_neighbours, _MATCH), "runs")
-    # a task's first run may have begun before it, at the least row with that hash; there are at most as many such runs as tasks
-    heads = runs.where("first is null").select("g").distinct()
-    starts = kept.join(F.broadcast(heads), "g").groupBy("g").agg(F.min(F.struct("key", "at")).alias("f"))
+    # a run that crosses tasks began at the least of their first rows and of the first rows of their last runs: two rows a task
+    starts = runs.where("first is null").groupBy("g").agg(F.min(F.struct("key", "at")).alias("f"))
     matched = runs.join(F.broadcast(starts), "g", "left").select("key", "at", F.coalesce("f.key", "first").alias("first"), F.coalesce("f.at", "first_at").alias("first_at")).where("first != key")
     pairs = matched.groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "first_at"))), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["first_at"].cast("string"))), " ").alias("payload"))
     pairs = written(pairs, "pairs")
