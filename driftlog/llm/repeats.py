@@ -3,9 +3,11 @@
 Of each document's suffixes (by words) only those at minimisers stay: the smallest hash of `anchor` words in every window of
 `window` places, the rightmost on ties. Two equal passages of anchor + window - 1 words (50) keep a suffix at the same place
 in both. The kept suffixes are range-sorted by the hash of their first words, document and place; equal neighbours form
-runs, and each suffix is matched with the first of its run, also where the run crosses tasks (the tasks' first rows tell), so
-a passage in a third of all documents is spread over many tasks and the result is the same for any split. A match is then extended left and right, word by word, and
-holds if it has `least` words or more.
+runs. Members of a run may agree in less than `least` words, and with each other in more than with the first. So of every
+suffix in a run all passages of `least` words that hold it (as the minimiser of their first places) are sorted in the same
+way, and each is matched with the first of its own run, also where the run crosses tasks (the tasks' first rows tell): a
+passage in a third of all documents is spread over many tasks and the result is the same for any split. A match is then
+extended left and right, word by word. No passage of `least` words is lost if that is anchor + window - 1 or more.
 
 Words are text between white space, as it is. Matches within one document are no repeats. Null text: as empty. Null ids come
 first in order and stay null. Repeated rows (equal id and text) are one document; an id with several texts has a result for
@@ -29,13 +31,13 @@ ANCHOR, WINDOW, LEAST = 40, 11, 50
 _WORD = re.compile(r"\S+")
 
 
-def suffixes(hashes, anchor: int, window: int):
-    """(places, hashes of `anchor` words there) of the minimisers; numpy."""
+def _grams(hashes, size: int):
+    """Hashes of the runs of `size` words; numpy."""
     import numpy as np
 
-    n = len(hashes) - anchor + 1
+    n = len(hashes) - size + 1
     if n < 1:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
+        return np.empty(0, np.uint64)
     # sums of windows by powers of an odd base: all arithmetic is modulo 2**64, where such a base has an inverse
     base = 0x9E3779B97F4A7C15
     power = np.full(len(hashes), base, np.uint64)
@@ -45,10 +47,38 @@ def suffixes(hashes, anchor: int, window: int):
     inverse[0] = 1
     inverse = np.multiply.accumulate(inverse)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(hashes) * power, dtype=np.uint64)])
-    grams = mix((total[anchor:] - total[:-anchor]) * inverse)
-    span = min(window, n)
+    return mix((total[size:] - total[:-size]) * inverse)
+
+
+def _minimisers(grams, window: int):
+    """The place of the minimiser of each window, by the window's first place."""
+    import numpy as np
+
+    span, n = min(window, len(grams)), len(grams)
     view = np.lib.stride_tricks.sliding_window_view(grams[::-1], span)
-    places = np.unique(n - 1 - (np.arange(len(view)) + view.argmin(1)))
+    return (n - 1 - (np.arange(len(view)) + view.argmin(1)))[::-1]
+
+
+def suffixes(hashes, anchor: int, window: int):
+    """(places, hashes of `anchor` words there) of the minimisers; numpy."""
+    import numpy as np
+
+    grams = _grams(hashes, anchor)
+    if not len(grams):
+        return np.empty(0, np.int64), grams
+    places = np.unique(_minimisers(grams, window))
+    return places, grams[places]
+
+
+def passages(hashes, ats, anchor: int, window: int, least: int):
+    """(places, hashes of `least` words there) of the passages whose first window has its minimiser among `ats`; numpy."""
+    import numpy as np
+
+    grams = _grams(hashes, least)
+    if not len(grams):
+        return np.empty(0, np.int64), grams
+    own = _minimisers(_grams(hashes, anchor), window)
+    places = np.flatnonzero(np.isin(own[np.minimum(np.arange(len(grams)), len(own) - 1)], ats))
     return places, grams[places]
 
 
@@ -88,43 +118,66 @@ def kept_suffixes(docs: DataFrame, anchor: int, window: int) -> DataFrame:
     return docs.mapInArrow(run, "g long, key string, at int")
 
 
+def long_passages(found: DataFrame, anchor: int, window: int, least: int) -> DataFrame:
+    """The passages of `least` words of rows key, text, ats (places of suffixes in runs), as rows like those of suffixes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
+        hashes = WordHashes(100_000)
+        for batch in batches:
+            for i in range(batch.num_rows):  # one text at a time as Python values
+                key, text, ats = (c[i].as_py() for c in batch.columns)
+                places, own = passages(hashes.array(text.split()), np.array(ats), anchor, window, least)
+                if len(places):
+                    keys = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(places), np.int32)), pa.array([key], pa.string())).cast(pa.string())
+                    yield pa.record_batch([pa.array(own.view(np.int64)), keys, pa.array(places.astype(np.int32))], names=["g", "key", "at"])
+
+    return found.mapInArrow(run, "g long, key string, at int")
+
+
 _MATCH = "g long, key string, at int, first string, first_at int"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of sorted suffixes: each that is not the first of its run with that first; and, without a first, the task's first row
     and the first row of its last run, which may go on in later tasks.
-
-    In the task's first run, which may have begun in an earlier task, suffixes of the first one's document are given too.
     """
     import numpy as np
 
-    last, lead, names = None, None, ["g", "key", "at", "first", "first_at"]
+    last, names = None, ["g", "key", "at", "first", "first_at"]
     kinds = (pa.int64(), pa.string(), pa.int32(), pa.string(), pa.int32())
+    edge = lambda row: pa.record_batch([pa.array([c], t) for c, t in zip((*row, None, None), kinds)], names=names)
     for batch in batches:
-        g = batch.column(0).to_numpy()
+        g, keys, at = batch.column(0).to_numpy(), batch.column(1), batch.column(2)
         if not len(g):
             continue
+        row = lambda i: (int(g[i]), keys[i].as_py(), at[i].as_py())  # noqa: B023, E731
         new = np.concatenate([[last is None or g[0] != last[0]], g[1:] != g[:-1]])
-        out = []
         if last is None:
-            lead = g[0]
-            out.append((int(g[0]), batch.column(1)[0].as_py(), batch.column(2)[0].as_py(), None, None))
-        inside = np.flatnonzero(~new)
+            yield edge(row(0))
         start = np.maximum.accumulate(np.where(new, np.arange(len(g)), -1))
-        keys, at = batch.column(1), batch.column(2)
-        for i in inside.tolist():
-            first = last if start[i] < 0 else (g[i], keys[int(start[i])].as_py(), at[int(start[i])].as_py())
-            key = keys[i].as_py()
-            if key != first[1] or g[i] == lead:
-                out.append((int(g[i]), key, at[i].as_py(), first[1], first[2]))
+        inside = np.flatnonzero(~new)
+        n = int((start[inside] < 0).sum())  # in a run that began in an earlier batch
+        if n:
+            yield pa.record_batch([batch.column(0)[:n], keys[:n], at[:n], pa.array([last[1]] * n, kinds[3]), pa.array([last[2]] * n, kinds[4])], names=names)
+        inside = inside[n:]
+        if len(inside):
+            members, firsts = batch.take(pa.array(inside)), batch.take(pa.array(start[inside]))
+            yield pa.record_batch([*(members.column(i).cast(kinds[i]) for i in range(3)), firsts.column(1).cast(kinds[3]), firsts.column(2).cast(kinds[4])], names=names)
         if start[-1] >= 0:
-            s = int(start[-1])
-            last = (g[s], keys[s].as_py(), at[s].as_py())
-        if out:
-            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+            last = row(int(start[-1]))
     if last is not None:
-        yield pa.record_batch([pa.array([c], t) for c, t in zip((*last, None, None), kinds)], names=names)
+        yield edge(last)
+
+
+def _matched(rows: DataFrame, name: str) -> DataFrame:
+    """key, at, first, first_at: the rows g, key, at with the first of equal g, wherever there are several."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = written(rows.repartitionByRange(n, "g", "key", "at").sortWithinPartitions("g", "key", "at").mapInArrow(_neighbours, _MATCH), name)
+    # a run that crosses tasks began at the least of their first rows and of the first rows of their last runs: two rows a task
+    starts = runs.where("first is null").groupBy("g").agg(F.min(F.struct("key", "at")).alias("f"))
+    return runs.join(F.broadcast(starts), "g", "left").select("key", "at", F.coalesce("f.key", "first").alias("first"), F.coalesce("f.at", "first_at").alias("first_at"))
 
 
 class _Extend:
@@ -158,20 +211,25 @@ class _Extend:
 def repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """key, first_key, start, end, first_start: words start..end of a document stand in an earlier one (by id) at first_start.
 
-    Shuffled are the kept suffixes (about a sixth of the words, some 30 bytes each) and the texts with matches.
+    Shuffled are the kept suffixes (about a sixth of the words, some 30 bytes each), the passages of `least` words around those
+    that are not alone, and the texts with matches.
     """
     docs = texts(docs)
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     kept = written(kept_suffixes(docs, anchor, window), "suffixes")
-    runs = written(kept.repartitionByRange(n, "g", "key", "at").sortWithinPartitions("g", "key", "at").mapInArrow(_neighbours, _MATCH), "runs")
-    # a run that crosses tasks began at the least of their first rows and of the first rows of their last runs: two rows a task
-    starts = runs.where("first is null").groupBy("g").agg(F.min(F.struct("key", "at")).alias("f"))
-    matched = runs.join(F.broadcast(starts), "g", "left").select("key", "at", F.coalesce("f.key", "first").alias("first"), F.coalesce("f.at", "first_at").alias("first_at")).where("first != key")
-    pairs = matched.groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.array_join(F.transform(F.array_sort(F.collect_set(F.struct("at", "first_at"))), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["first_at"].cast("string"))), " ").alias("payload"))
+    met = _matched(kept, "runs")
+    ats = met.select("key", "at").union(met.select("first", "first_at").distinct()).groupBy("key").agg(F.collect_set("at").alias("ats"))
+    ats = written(ats, "places")
+    found = pick_texts(_keyed(docs), ats.select("key"), F.col("key"))
+    longer = written(long_passages(found.join(ats, "key").select("key", "text", "ats"), anchor, window, least), "passages")
+    matched = _matched(longer, "passage-runs").where("first != key")
+    # of matches at one distance only those are kept that do not follow another by one word: the others are in its extension;
+    # the distance stands in the upper half, so that the hashes of long values in a set do not meet
+    place = F.shiftleft((F.col("at") - F.col("first_at")).cast("long"), 32) + F.col("at")
+    pairs = matched.groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.collect_list(place).alias("p"))
+    alone = F.array_sort(F.transform(F.array_except("p", F.transform("p", lambda x: x + 1)), lambda x: F.struct(x.bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), F.shiftright(x, 32).alias("shift"))))
+    pairs = pairs.select("a", "b", F.array_join(F.transform(alone, lambda x: F.concat(x["at"].cast("string"), F.lit(":"), (x["at"] - x["shift"]).cast("string"))), " ").alias("payload"))
     pairs = written(pairs, "pairs")
-    used = written(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "keys")
-    found = pick_texts(_keyed(docs), used, F.col("key"))
-    spans = compare(pairs, found, lambda: _Extend(anchor, least), "key string, first_key string, start long, end long, first_start long")
+    spans = compare(pairs, found, lambda: _Extend(least, least), "key string, first_key string, start long, end long, first_start long")
     return spans
 
 

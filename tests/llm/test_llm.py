@@ -213,6 +213,21 @@ def test_hot_passage_is_split_alike(spark):
     assert got[0] == got[1] == got[2] and {r[0] for r in got[0]} == set(range(1, 300)) and all(r[0] != r[1] for r in got[0])
 
 
+def test_short_copy_hides_no_passage(spark):
+    """Documents that share a passage are matched with each other though the first of the run holds a part of it only."""
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    whole = words("p", 55)
+    texts = {
+        0: words("a", 5) + " " + " ".join(whole.split()[3:48]) + " " + words("b", 5),  # 45 words of it
+        1: words("c", 5) + " " + " ".join(whole.split()[:41] + ["other"] + whole.split()[42:]),
+        **{i: words(f"d{i}x", 7) + " " + whole + " " + words(f"e{i}x", 7) for i in range(2, 9)},
+        20: " ".join([words("q", 42), words("f", 9), words("q", 56)]),  # its first place of the 40 words is the short one
+        21: words("g", 9) + " " + words("q", 56) + " " + words("h", 9),
+    }
+    got = repeats.repeated_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.first_doc_id, r.start, r.n_words) for r in got) == [*((i, 2, 7, 55) for i in range(3, 9)), (21, 20, 9, 56)]
+
+
 def test_decontamination(spark, docs, rows, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(900, "zero one two"), (901, ""), (902, None)], "item_id long, text string"))
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower())
