@@ -1,4 +1,4 @@
-"""Repeated passages by a sparse suffix array.
+"""Repeated passages by sorted hashes at sampled suffixes; in place of a suffix array, suffixes are not sorted by their words.
 
 Of each document's suffixes (by words) only those at minimisers stay: the smallest hash of `anchor` words in every window of
 `window` places, the rightmost on ties. Two equal passages of anchor + window - 1 words (50) keep a suffix at the same place
