@@ -122,11 +122,20 @@ def _shown(row: tuple[str, int, int], toxic: int, clean: int, m: int) -> float |
     return odds if g > 2 * math.log(m / 0.2) and odds > 3.0 else None
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most: int = 5_000) -> dict:
+def _may_show(toxic: int, clean: int, m: int):
+    """The test of _shown as a condition over t and c, with a little room for rounding."""
+    share, t, c = toxic / (toxic + clean), F.col("t"), F.col("c")
+    p = t / (t + c)
+    g = 2 * (t * F.log(p / share) + F.when(c > 0, c * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
+    return (g > 2 * math.log(m / 0.2) - 1e-6) & (odds > 3.0 - 1e-6)
+
+
+def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> dict:
     """The learned words and stems and the logistic map, from at most `sample_rows` labelled rows by a hash of their ids;
     equal texts count once.
 
-    Counts by word are added up on the executors; at most `most` words and stems reach the driver, and two numbers a row.
+    Counts by word are added up on the executors; words and stems that pass the test reach the driver, and two numbers a row.
     """
     marks = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     teach = marks.where(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) != 2).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
@@ -156,8 +165,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000, most: i
         tried = sums.count()
         words, stems = lexicon(), {}
         if both is not None and both["t"] and both["c"]:
-            # below this share of toxic rows no count passes the test of _shown
-            found = sums.where((F.col("word") != "\x00") & (F.col("t") > F.col("c"))).orderBy(F.desc(F.col("t") - F.col("c")), "word").limit(most).collect()
+            found = sums.where(F.col("word") != "\x00").where(_may_show(both["t"], both["c"], tried)).collect()
             for row in found:
                 odds = _shown((row["word"], row["t"], row["c"]), both["t"], both["c"], tried)
                 if odds is None:

@@ -228,6 +228,14 @@ def test_short_copy_hides_no_passage(spark):
     assert sorted((r.doc_id, r.first_doc_id, r.start, r.n_words) for r in got) == [*((i, 2, 7, 55) for i in range(3, 9)), (21, 20, 9, 56)]
 
 
+def test_rare_toxic_word_is_learned(spark):
+    """Where toxic rows are rare, an insult may stand in more clean rows than toxic ones."""
+    ids = [i for i in range(3_000) if crc(i, 4) != 2][:2_000]
+    rows = [(i, f"plain words {i} " + ("zorblat" if k < 10 or 40 <= k < 55 else "other"), k < 40) for k, i in enumerate(ids)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic boolean")
+    assert "zorblat" in toxicity.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))["words"]
+
+
 def test_decontamination(spark, docs, rows, none):
     bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(900, "zero one two"), (901, ""), (902, None)], "item_id long, text string"))
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower())
