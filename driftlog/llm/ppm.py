@@ -1,4 +1,4 @@
-"""Language-model scores by prediction by partial matching over bytes.
+"""Language-model scores by a unigram word model, with prediction by partial matching over bytes for unseen words only.
 
 A text is its tokens: words (runs of bytes other than ASCII white space, A-Z lower-cased), each closed by a blank, and one end
 mark. The longest contexts of the trie are whole words since their blank: a word seen in training is coded by its discounted
