@@ -31,7 +31,7 @@ _REPEAT = "\x00repeat"
 
 def features(word: str, buckets: int) -> list[int]:
     raw = f"<{word}>"
-    grams = [raw[i : i + n] for n in (3, 4, 5) for i in range(len(raw) - n + 1)] if len(raw) <= 64 else []
+    grams = [raw[i : i + n] for n in (3, 4, 5) for i in range(len(raw) - n + 1)]
     return [zlib.crc32(g.encode()) % buckets for g in (f"\x01{word}", *grams)]
 
 
@@ -96,7 +96,7 @@ def train(rows: list[tuple[int, bytes, bytes]], buckets: int, dim: int = 8, epoc
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000, buckets: int = 1 << 16) -> dict:
     """The model, from at most `sample_rows` labelled rows by a hash of their ids (their features come to the driver).
 
-    The rarer label's rows count as many times as bring the two to a third and two thirds at least.
+    Each row counts once, whatever the shares of the labels.
     """
     marks = labels.where("quality is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label"))
     teach = marks.where(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) != 2).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample_rows)

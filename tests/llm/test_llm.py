@@ -300,6 +300,13 @@ def test_winnowing_by_hand(spark):
             assert all(any(i <= p < i + 8 for p in places) for i in range(n - 3 - 7))
 
 
+def test_long_words_have_character_features():
+    """A text without white space has the n-grams of what it is made of."""
+    long = "unspaced" * 20
+    assert len(quality.features(long, 1 << 16)) == 1 + 160 + 159 + 158
+    assert set(quality.features("unspaced", 1 << 30)) & set(quality.features(long, 1 << 30))
+
+
 def test_classifiers(spark, labels, none, docs):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
