@@ -1,44 +1,46 @@
-"""Language-model scores by a unigram word model, with prediction by partial matching over bytes for unseen words only.
-
-A text is its tokens: words (runs of bytes other than ASCII white space, A-Z lower-cased), each closed by a blank, and one end
-mark. The longest contexts of the trie are whole words since their blank: a word seen in training is coded by its discounted
-count; else the escape, estimated from the counts of words seen once and twice, leads to the byte contexts of up to `order`
-bytes, where seen words are excluded. Byte contexts count distinct words, not tokens. A byte is coded at its longest context
-seen: with count c of n there, of q distinct bytes, it takes (2c - 1) / 2n; else the escape q / 2n leads to the context one
-byte shorter, where bytes of the longer ones are excluded; below the empty context all bytes left are alike.
-
-Word counts are kept for each of the most common `lang` values of training rows (a class); a run of `segment` tokens has the
-sum of the probabilities of the classes, weighted by their shares of training. A row's own lang is not used. Probabilities
-add up to one over all texts. The model is pretrained on rows whose crc32(doc_id) mod 5 is not 1 and does not adapt.
-
-The counts of all words and all contexts are kept, in tables; they grow with the corpus. A word is spelled once per distinct
-word. Words among the `head` most frequent (and at most 40 bytes long, so of bounded size) are scored where the texts are
-read; runs with any other word are joined with the word table as rows.
-
-Null text: as empty (one token, the end). Null ids: as an empty id text, so they train. Null or rare lang, or no such column:
-the class of the rest. Repeated rows: each counts and is scored. No documents: an empty result; no training rows: all bytes
-are alike. Other columns are ignored.
+"""Language-model scores by prediction by partial matching over the bytes of whole texts.
+
+A text is its tokens: words (runs of bytes other than ASCII white space, A-Z lower-cased) with a blank between two of them, and
+an end mark, a line feed. Contexts are the `order` bytes before a byte, across words; before the text stand end marks. The
+trie has all contexts of the training rows and is counted over every byte of them: at the full order by occurrences, and in
+each shorter context by the longer contexts in which the byte occurred (update exclusion). A byte is coded at the longest
+context that training has. With count c of n there, and q distinct bytes, it takes (2c - 1) / 2n; else the escape q / 2n leads
+to the context one byte shorter, where the bytes of the longer one are excluded from n and q. Below the empty context all bytes
+left are alike. A context without bytes left is passed by. So probabilities add up to one in every context. The model is
+pretrained on the rows whose crc32(doc_id) mod 5 is not 1 and does not adapt; every row is scored, by all of its bytes.
+
+Rows are copied into chunks (the tasks that read them). A chunk sends each of its distinct grams (context and byte) once, with
+its count. The counts of a gram are added up, the codes of grams whose contexts end alike are worked out together, and each
+chunk gets the codes of its own grams, as files in the shared folder: no task needs the whole trie, and what is shuffled are
+the distinct grams of chunks, never texts. Trie and vocabulary grow with the corpus; nothing is pruned.
+
+The word counts of the base score stand in a table; those of the `head` most frequent words (at most 64 bytes long) go with
+the tasks, other words of a row are joined with the table.
+
+Null text: as empty (one token, the end). Null ids: as an empty id text, so they train. Repeated rows: each counts and is
+scored. No documents: an empty result; no training rows: every byte has 1/256. Other columns are ignored. Texts of any length
+are worked on in pieces of `PIECE` bytes with the context before them.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
 
 from .binary_output import _store
-from .common import id_crc, new_path, rows_of, texts, written
+from .common import discard, id_crc, new_path, rows_of, texts, written
 
 END = b"\n"
-_GRAM = pa.schema([("gram", pa.binary()), ("n", pa.int64())])
-_WORD = pa.schema([("word", pa.binary()), ("k", pa.int32()), ("c", pa.int64())])
+PIECE = 1 << 20
+_WORD = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+_SCORED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64()), ("rest", pa.list_(pa.struct([("word", pa.binary()), ("m", pa.int64())])))])
 
 
 def tokens(text: str) -> list[bytes]:
@@ -46,294 +48,339 @@ def tokens(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def grams(word: bytes, order: int) -> list[bytes]:
-    """Each byte of a token with its longest context; the token stands after a blank, and a word has one behind it."""
-    line = b" " + word if word == END else b" " + word + b" "
-    return [line[max(0, i - order) : i + 1] for i in range(1, len(line))]
+def pieces(words: list[bytes], order: int) -> list[bytes]:
+    """The bytes of a text in pieces, each after the `order` bytes before it."""
+    line = END * order + b" ".join(words) + END
+    return [line[at : at + PIECE + order] for at in range(0, len(line) - order, PIECE)]
 
 
-def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
-    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+def grams(parts: list[bytes], order: int):
+    """Each byte of the pieces behind its context, as one integer, and how many a piece has; numpy."""
+    import numpy as np
+
+    sizes = np.array([len(p) for p in parts])
+    raw = np.frombuffer(b"".join(parts), np.uint8).astype(np.uint64)
+    out = raw.copy()
+    for j in range(1, order + 1):
+        out[j:] |= raw[:-j] << np.uint64(8 * j)
+    inside = np.ones(len(raw), bool)
+    inside[(np.cumsum(sizes) - sizes)[:, None] + np.arange(order)] = False
+    return out[inside], sizes - order
+
 
+def _added(keys: list, counts: list):
+    """(distinct keys in order, sums of their counts) of arrays of keys and counts; numpy."""
+    import numpy as np
 
-def vocabulary(docs: DataFrame, classes: int, most: int = 250_000) -> DataFrame:
-    """word, c, its count in training rows (0 for words of other rows only), and c_k by class; the end token is a line feed."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    rank = np.argsort(key)
+    key, n = key[rank], n[rank]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first], np.add.reduceat(n, first)
+
+
+def counted(docs: DataFrame, order: int, most: int = 2_000_000) -> DataFrame:
+    """g, n and chunk: the distinct grams of each chunk with their occurrences in training rows; about `most` are held at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: list[Counter] = [Counter() for _ in range(classes)]
-        other: set = set()
-        held = 0
+        import numpy as np
 
-        def out():
-            rows = [(w, k, n) for k, of in enumerate(seen) for w, n in of.items()]
-            rows += [(w, 0, 0) for w in other if not any(w in of for of in seen)]
-            for i in range(0, len(rows), 50_000):
-                yield _batch(rows[i : i + 50_000], _WORD)
-            for x in (*seen, other):
-                x.clear()
+        keys, counts, held, chunk = [], [], [[], []], None
 
+        def count():
+            for kind in (0, 1):
+                if held[kind]:
+                    found = np.sort(grams(held[kind], order)[0])
+                    first = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]]))
+                    keys.append(found[first])
+                    counts.append(np.diff(np.append(first, len(found))) * kind)
+                    held[kind] = []
+            if sum(map(len, keys)) > most and len(keys) > 1:
+                keys[:], counts[:] = ([x] for x in _added(keys, counts))
+
+        def out():
+            count()
+            if keys:
+                key, n = _added(keys, counts)
+                for i in range(0, len(key), 100_000):
+                    yield pa.record_batch([pa.array(key[i : i + 100_000].view(np.int64)), pa.array(n[i : i + 100_000]), pa.array(np.full(len(key[i : i + 100_000]), chunk, np.int32))], names=["g", "n", "chunk"])
+                keys.clear(), counts.clear()
+
+        size = 0
         for batch in batches:
-            for text, held_out, k in rows_of(batch):
-                own = tokens(text)
-                own.append(END)
-                if held_out:
-                    other.update(own)
-                else:
-                    seen[k].update(own)
-                held += 1
-                if held % 64 == 0 and sum(map(len, seen)) + len(other) > most:
+            for text, held_out, own in rows_of(batch):
+                if own != chunk:
                     yield from out()
+                    chunk = own
+                parts = pieces(tokens(text), order)
+                held[not held_out] += parts
+                size += sum(map(len, parts))
+                if size > PIECE:
+                    count()
+                    size = 0
         yield from out()
 
-    rows = docs.select("text", "held_out", "k").mapInArrow(run, "word binary, k int, c long")
-    return rows.groupBy("word").agg(F.sum("c").alias("c"), *[F.sum(F.when(F.col("k") == i, F.col("c")).otherwise(0)).alias(f"c_{i}") for i in range(classes)])
+    return docs.select("text", "held_out", "chunk").mapInArrow(run, "g long, n long, chunk int")
+
+
+class Level:
+    """The contexts of `k` bytes: counts of their grams, in numpy. `lower` is the level below, with all grams that end these."""
+
+    def __init__(self, k: int, keys, counts, lower: "Level | None"):
+        import numpy as np
+
+        self.k, self.keys, self.counts = k, keys, counts
+        context = keys >> np.uint64(8)
+        first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(keys) else np.empty(0, np.int64)
+        self.contexts = context[first]
+        self.n = np.add.reduceat(counts, first) if len(keys) else counts
+        self.q = np.diff(np.append(first, len(keys)))
+        # the count that this context's bytes have one level below, where they are excluded
+        self.out = np.add.reduceat(lower.count(keys), first) if lower is not None and len(keys) else np.zeros(len(first), np.int64)
+
+    def below(self):
+        """Grams one byte shorter, each counted by the grams here that end with it."""
+        import numpy as np
+
+        return np.unique(self.keys & np.uint64((1 << 8 * self.k) - 1), return_counts=True)
+
+    def _find(self, values, among):
+        import numpy as np
+
+        if not len(among):
+            return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+        return at, among[at] == values
+
+    def count(self, grams_):
+        """The counts here of grams of any length, by their last bytes."""
+        import numpy as np
+
+        at, hit = self._find(grams_ & np.uint64((1 << 8 * (self.k + 1)) - 1), self.keys)
+        return np.where(hit, self.counts[at], 0) if len(self.keys) else np.zeros(len(grams_), np.int64)
+
+    def context(self, grams_):
+        """(n, q, excluded below) of the contexts of grams; zeros where training has none."""
+        import numpy as np
+
+        at, hit = self._find((grams_ >> np.uint64(8)) & np.uint64((1 << 8 * self.k) - 1), self.contexts)
+        return tuple(np.where(hit, x[at], 0) if len(self.contexts) else np.zeros(len(grams_), np.int64) for x in (self.n, self.q, self.out))
+
+
+def levels(keys, counts, order: int, low: dict) -> list[Level]:
+    """The levels of `order` to 0 from the trained grams `keys`; those in `low` (k -> keys, counts) are complete there."""
+    found = {order: (keys, counts)}
+    for k in range(order, 0, -1):
+        found[k - 1] = low[k - 1] if k - 1 in low else Level(k, *found[k], None).below()
+    out: list[Level] = []
+    for k in range(order + 1):
+        out.append(Level(k, *found[k], out[-1] if out else None))
+    return out
+
 
+def code(asked, by_order: list[Level]):
+    """log10 of the probability of the last byte of each gram after the bytes before it; numpy."""
+    import numpy as np
 
-def contexts(words: DataFrame, order: int, most: int = 250_000) -> DataFrame:
-    """gram and n: each byte with its longest context, and the number of training words that have it."""
+    out, open_ = np.zeros(len(asked)), np.ones(len(asked), bool)
+    gone = np.zeros(len(asked), np.int64)  # bytes and their count that a longer context excludes
+    gone_n = np.zeros(len(asked), np.int64)
+    for level in reversed(by_order):
+        n, q, next_n = level.context(asked)
+        c, total, left = level.count(asked), n - gone_n, q - gone
+        live = open_ & (total > 0)
+        hit = live & (c > 0)
+        out[hit] += np.log10((2 * c[hit] - 1) / (2 * total[hit]))
+        miss = live & ~hit
+        out[miss] += np.log10(left[miss] / (2 * total[miss]))
+        open_ &= ~hit
+        gone, gone_n = q, next_n
+    out[open_] -= np.log10(256 - gone[open_])
+    return out
+
+
+def codes(counts: DataFrame, order: int, most_low: int = 1_000_000, buffer: int = 300_000) -> DataFrame:
+    """g and its code, from the counts of all grams.
+
+    Grams whose contexts end in the same `near` bytes have all their longer contexts to themselves, and are worked out together,
+    some `buffer` rows at a time. The counts of shorter contexts go with the tasks: of two bytes and less if they are at most
+    `most_low` (12 bytes each), else of one byte and less, which are 65,792 at most; the codes are the same.
+    """
+    n, trained = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")), counts.where("n > 0")
+    ends = lambda c, size: F.col(c).bitwiseAND(F.lit((1 << 8 * size) - 1))
+    for near in (3, 2):
+        near = min(near, order)
+        long = trained.select(ends("g", near + 1).alias("g"))
+        shorter = long.distinct().groupBy(ends("g", near).alias("g")).agg(F.count("*").alias("n")) if near else long.limit(0).withColumn("n", F.lit(0))
+        if near <= 2 or shorter.count() <= most_low:
+            break
+    table = shorter.orderBy("g").toArrow()
+    first = (table.column("g").to_numpy(), table.column("n").to_numpy())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[bytes, int] = defaultdict(int)
+        import numpy as np
+
+        low, at = {}, near - 1
+        found = first[0].astype(np.uint64), first[1].astype(np.int64)
+        while at >= 0:
+            low[at] = found
+            found = Level(at, *found, None).below() if at else found
+            at -= 1
+
+        def out(keys, counts_):
+            held = counts_ > 0
+            return pa.record_batch([pa.array(keys.view(np.int64)), pa.array(code(keys, levels(keys[held], counts_[held], order, low)))], names=["g", "code"])
+
+        keys, counts_ = np.empty(0, np.uint64), np.empty(0, np.int64)
+        kept, size = [], 0
         for batch in batches:
-            for word, c in rows_of(batch):
-                for g in grams(word, order):
-                    seen[g] += c > 0
-                if len(seen) > most:
-                    yield _batch(list(seen.items()), _GRAM)
-                    seen.clear()
-        if seen:
-            yield _batch(list(seen.items()), _GRAM)
-
-    return words.select("word", "c").mapInArrow(run, "gram binary, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-
-
-class Trie:
-    """Counts of bytes by context; code(gram) is the log10 probability of its last byte after the bytes before it."""
-
-    def __init__(self, lowest: dict[bytes, dict[int, int]]):
-        self.counts = lowest
-
-    def add(self, gram: bytes, n: int, least: int) -> None:
-        """Counts the last byte in all contexts of `least` bytes or more."""
-        context, byte = gram[:-1], gram[-1]
-        for i in range(len(context) - least + 1):
-            of = self.counts.setdefault(context[i:], {})
-            of[byte] = of.get(byte, 0) + n
-
-    def code(self, gram: bytes) -> float:
-        context, byte, p, seen = gram[:-1], gram[-1], 0.0, set()
-        for i in range(len(context) + 1):
-            of = self.counts.get(context[i:])
-            if not of:
-                continue
-            left = [(b, c) for b, c in of.items() if b not in seen] if seen else of.items()
-            total = sum(c for _, c in left)
-            if not total:
+            kept.append((batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy().astype(np.int64)))
+            size += batch.num_rows
+            if size < buffer:
                 continue
-            if byte in of:
-                return p + math.log10((2 * of[byte] - 1) / (2 * total))
-            p += math.log10(len(left) / (2 * total))
-            seen.update(of)
-        return p - math.log10(256 - len(seen))
+            keys, counts_ = (np.concatenate(x) for x in zip(*kept))
+            group = (keys >> np.uint64(8)) & np.uint64((1 << 8 * near) - 1)
+            end = int(np.argmax(group == group[-1]))  # the last group may go on
+            kept, size = [(keys[end:], counts_[end:])], len(keys) - end
+            if end:
+                rank = np.argsort(keys[:end])
+                yield out(keys[:end][rank], counts_[:end][rank])
+        if size:
+            keys, counts_ = (np.concatenate(x) for x in zip(*kept))
+            rank = np.argsort(keys)
+            yield out(keys[rank], counts_[rank])
 
+    group = F.shiftright("g", 8).bitwiseAND(F.lit((1 << 8 * near) - 1))
+    return counts.select("g", "n", group.alias("near")).repartition(n, "near").sortWithinPartitions("near").select("g", "n").mapInArrow(run, "g long, code double")
 
-def codes(counted: DataFrame) -> DataFrame:
-    """gram and its code, the log10 probability of its last byte.
 
-    Grams whose contexts end in the same two bytes share all longer contexts that matter; such groups are worked out apart.
-    The contexts of one byte and of none have at most 65,792 counts, which come to the driver and go with the tasks.
-    """
-    low = counted.where("n > 0").select(F.substring("gram", -2, 2).alias("g"), "n").groupBy("g").agg(F.sum("n").alias("n")).collect()
-    lowest: dict[bytes, dict[int, int]] = defaultdict(dict)
-    for g, n in low:
-        g = bytes(g)
-        lowest[g[:1]][g[1]] = n
-        lowest[b""][g[1]] = lowest[b""].get(g[1], 0) + n
-    lowest = dict(lowest)
+def vocabulary(docs: DataFrame, most: int = 250_000) -> DataFrame:
+    """word and c, its count in training rows (0 for words of other rows only); the end token is a line feed."""
 
-    def run(table: pa.Table) -> pa.Table:
-        trie = Trie(dict(lowest))
-        rows = list(zip(table.column("gram").to_pylist(), table.column("n").to_pylist()))
-        for gram, n in rows:
-            if n:
-                trie.add(gram, n, 2)
-        return pa.table({"gram": pa.array([g for g, _ in rows], pa.binary()), "code": pa.array([trie.code(g) for g, _ in rows], pa.float64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: Counter = Counter()
+        other: set = set()
 
-    before = F.substring("gram", -3, 3)
-    near = F.when(F.length("gram") > 2, F.substring(before, 1, 2)).otherwise(F.col("gram").substr(F.lit(1), F.lit(1)))
-    return counted.withColumn("near", near).groupBy("near").applyInArrow(run, "gram binary, code double")
+        def out():
+            rows = [*seen.items(), *((w, 0) for w in other if w not in seen)]
+            for i in range(0, len(rows), 50_000):
+                yield _batch(rows[i : i + 50_000], _WORD)
+            seen.clear(), other.clear()
 
+        for batch in batches:
+            for text, held_out in rows_of(batch):
+                own = tokens(text)
+                own.append(END)
+                (other if held_out else seen).update(own)
+                if len(seen) + len(other) > most:
+                    yield from out()
+        yield from out()
+
+    return docs.select("text", "held_out").mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
-def _pack(g: bytes) -> int:
-    """At most seven bytes and their number in one integer."""
-    return int.from_bytes(g, "big") << 4 | len(g)
 
+def _batch(rows: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-def word_codes(words: DataFrame, coded: DataFrame, order: int, block_rows: int = 4_000_000) -> DataFrame:
-    """word and code, the log10 probability of its spelling.
 
-    The codes of grams lie in blocks of about `block_rows` (16 bytes each) in the shared folder; a task reads one block and
-    adds up what it has of each word, so no task needs all.
-    """
-    spark = words.sparkSession
-    blocks = max(1, math.ceil(coded.count() / block_rows))
-    path = new_path(spark, "codes")
-    coded.withColumn("block", F.pmod(F.xxhash64("gram"), F.lit(blocks))).repartition(blocks, "block").write.partitionBy("block").parquet(path)
-    token = uuid.uuid4().hex
-
-    def lookup(block: int):
-        def load():
-            import numpy as np
-            import pyarrow.parquet as pq
-            from pyarrow import fs
-
-            files, base = _store(path)
-            found = [f.path for f in files.get_file_info(fs.FileSelector(f"{base}/block={block}", allow_not_found=True)) if f.path.endswith(".parquet")]
-            keys, values = [np.empty(0, np.uint64)], [np.empty(0)]
-            for f in found:
-                table = pq.ParquetFile(files.open_input_file(f)).read(["gram", "code"])
-                keys.append(np.fromiter(map(_pack, table.column("gram").to_pylist()), np.uint64, len(table)))
-                values.append(table.column("code").to_numpy())
-            keys, values = np.concatenate(keys), np.concatenate(values)
-            rank = np.argsort(keys)
-            return keys[rank], values[rank]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            import numpy as np
-
-            from . import ppm
-
-            kept = ppm.__dict__.setdefault("_blocks", {})
-            if (token, block) not in kept:
-                kept.clear()
-                kept[token, block] = load()
-            keys, values = kept[token, block]
-            for batch in batches:
-                rows = batch.column(0).to_pylist()
-                if not rows:
-                    continue
-                parts = [list(map(_pack, grams(w, order))) for w in rows]
-                sizes = np.array([len(p) for p in parts])
-                asked = np.fromiter((x for p in parts for x in p), np.uint64, sizes.sum())
-                at = np.minimum(np.searchsorted(keys, asked), max(0, len(keys) - 1))
-                hit = keys[at] == asked if len(keys) else np.zeros(len(asked), bool)
-                own = np.where(hit, values[at] if len(keys) else 0.0, 0.0)
-                sums = np.add.reduceat(own, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sums)], names=[*batch.schema.names, "code"])
-
-        return run
-
-    names = words.columns
-    kind = StructType([*words.schema.fields, StructField("code", DoubleType())])
-    parts = [words.mapInArrow(lookup(b), kind) for b in range(blocks)]
-    if blocks == 1:
-        return parts[0]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.groupBy(*names).agg(F.sum("code").alias("code"))
-
-
-def _classed(docs: DataFrame, most: int) -> tuple[DataFrame, int]:
-    """doc_id, text, held_out and the class k of its lang (0: the rest); the number of classes, at most `most` + 1."""
+def _codes_of(path: str, chunk: int):
+    """(grams in order, their codes) of a chunk; numpy."""
+    import numpy as np
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    files, base = _store(path)
+    keys, values = [np.empty(0, np.uint64)], [np.empty(0)]
+    for f in files.get_file_info(fs.FileSelector(f"{base}/chunk={chunk}")):
+        if f.path.endswith(".parquet"):
+            table = pq.ParquetFile(files.open_input_file(f.path)).read(["g", "code"])
+            keys.append(table.column("g").to_numpy().astype(np.uint64))
+            values.append(table.column("code").to_numpy())
+    keys, values = np.concatenate(keys), np.concatenate(values)
+    rank = np.argsort(keys)
+    return keys[rank], values[rank]
+
+
+def ppm_scores(docs: DataFrame, order: int = 5, head: int = 300_000) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document; `order` is 0 to 6."""
+    if not 0 <= order <= 6:
+        raise ValueError("order is 0 to 6: a gram and a number of its document share 64 bits")
+    spark = docs.sparkSession
     held_out = F.pmod(id_crc(F.col("doc_id")), F.lit(5)) == 1
-    rows, k = texts(docs), F.lit(0)
-    if "lang" in docs.columns:
-        common = docs.where(F.pmod(id_crc(F.col("doc_id").cast("long")), F.lit(5)) != 1).where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most).collect()
-        rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), F.col("lang").cast("string").alias("lang"))
-        for i, r in enumerate(common):
-            k = F.when(F.col("lang") == F.lit(str(r["lang"])), i + 1).otherwise(k)
-        return rows.select("doc_id", "text", held_out.alias("held_out"), k.cast("int").alias("k")), len(common) + 1
-    return rows.select("doc_id", "text", held_out.alias("held_out"), k.cast("int").alias("k")), 1
-
-
-class Model:
-    """Code vectors of words, from their counts by class and their spelling's code, and the sums over segments."""
-
-    def __init__(self, totals: list[tuple], whole: float):
-        """totals: (N, V, words seen once, words seen twice, probability of the spellings of seen words) by class."""
-        self.whole, self.terms = whole, []
-        every = sum(t[0] for t in totals)
-        for n, v, n1, n2, spelled in totals:
-            if not n:
-                self.terms.append(None)
-                continue
-            cut = (n1 + 0.5) / (n1 + 2 * n2 + 1)
-            self.terms.append((math.log10(n / every), n, cut, math.log10(cut * v / n) - math.log10(max(1e-12, 1 - spelled))))
-        self.shares = [t[0] for t in self.terms if t]
-
-    def word(self, c: int, counts, code: float) -> tuple:
-        """(1 if known, log10 of the base probability, codes by class)."""
-        own = [math.log10((k - t[2]) / t[1]) if k else t[3] + code for k, t in zip(counts, self.terms) if t]
-        return (1 if c else 0, math.log10((c + 0.5) / self.whole), *(own or [code]))
-
-    def segment(self, codes) -> float:
-        sums = [a + b for a, b in zip(self.shares or [0.0], codes)]
-        top = max(sums)
-        return top + math.log10(math.fsum(10.0 ** (x - top) for x in sums))
-
-
-def ppm_scores(docs: DataFrame, order: int = 6, head: int = 300_000, classes: int = 7, segment: int = 64) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
-    rows, k = _classed(docs, classes)
-    words = written(vocabulary(rows, k), "words")
-    coded = codes(written(contexts(words, order), "contexts"))
-    known = written(word_codes(words, written(coded, "gram-codes"), order), "word-codes")
-    sums = [x for i in range(k) for x in (F.sum(f"c_{i}"), F.count_if(F.col(f"c_{i}") > 0), F.count_if(F.col(f"c_{i}") == 1), F.count_if(F.col(f"c_{i}") == 2), F.sum(F.when(F.col(f"c_{i}") > 0, F.pow(F.lit(10.0), F.col("code"))).otherwise(0.0)))]
-    found = [x or 0 for x in known.agg(F.count_if(F.col("c") > 0), *sums).first()]
-    n, v = sum(found[1::5]), found[0]
-    model = Model([tuple(found[1 + 5 * i : 6 + 5 * i]) for i in range(k)], n + 0.5 * (v + 1))
-    listed = F.array(*[F.col(f"c_{i}") for i in range(k)])
-    top = known.where(F.length("word") <= 40).orderBy(F.desc("c"), "word").limit(head).select("word", "c", listed.alias("counts"), "code").toArrow()
-    shared = docs.sparkSession.sparkContext.broadcast(top.to_batches())  # at most `head` rows of 40 bytes and a few numbers
-    parts, token = max(1, len(model.shares)), uuid.uuid4().hex
-    scored = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("code", pa.float64()), ("rest", pa.list_(pa.struct([("seg", pa.int64()), ("words", pa.list_(pa.binary())), ("codes", pa.list_(pa.float64()))])))])
+    rows = written(texts(docs).select("doc_id", "text", held_out.alias("held_out"), F.spark_partition_id().alias("chunk")), "chunks")
+    words = written(vocabulary(rows), "words")
+    own = written(counted(rows, order), "grams")
+    counts = written(own.groupBy("g").agg(F.sum("n").alias("n")), "counts")
+    coded = written(codes(counts, order), "codes")
+    path, n = new_path(spark, "chunk-codes"), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own.select("g", "chunk").join(coded, "g").repartition(n, "chunk").write.partitionBy("chunk").parquet(path)
+    discard(own, counts, coded)
+
+    total, v = words.agg(F.sum("c"), F.count_if(F.col("c") > 0)).first()
+    total, token = total or 0, uuid.uuid4().hex
+    whole = total + 0.5 * (v + 1)
+    top = words.where("c > 0").where(F.length("word") <= 64).orderBy(F.desc("c"), "word").limit(head).toArrow()
+    shared = spark.sparkContext.broadcast(top.to_batches())  # at most `head` rows of 64 bytes and a number
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import numpy as np
+
         from . import ppm
 
-        kept = ppm.__dict__.setdefault("_heads", {})
+        kept = ppm.__dict__.setdefault("_kept", {})
         if token not in kept:
             kept.clear()
-            kept[token] = {w: model.word(c, of, code) for b in shared.value for w, c, of, code in rows_of(b)}
+            kept[token] = {w: math.log10((c + 0.5) / whole) for b in shared.value for w, c in rows_of(b)}
         get, number = kept[token].get, TaskContext.get().partitionId() << 40
+        bits, chunk, keys, values = 64 - 8 * (order + 1), None, None, None
+        held: list = []  # rows without their score
+        parts: list = []  # their pieces
+        of: list = []  # and the row of each piece
+
+        def out() -> pa.RecordBatch:
+            found, sizes = grams(parts, order)
+            mark = np.uint64((1 << bits) - 1)
+            # sorted by gram, so that each distinct one is looked up once and in order
+            both = np.sort((found << np.uint64(bits)) | np.repeat(np.array(of, np.uint64), sizes))
+            gram = both >> np.uint64(bits)
+            first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+            value = values[np.searchsorted(keys, gram[first])]
+            sums = np.bincount((both & mark).astype(np.int64), np.repeat(value, np.diff(np.append(first, len(both)))), len(held))
+            batch = _batch([(*r[:6], s, r[6]) for r, s in zip(held, sums.tolist())], _SCORED)
+            held.clear(), parts.clear(), of.clear()
+            return batch
+
+        size = 0
         for batch in batches:
-            out, size = [], 0
-            for doc_id, text, held_out in rows_of(batch):
-                own = tokens(text)
-                own.append(END)
-                n_known, base, code, rest = 0, [], [], []
-                for at in range(0, len(own), segment):
-                    line = own[at : at + segment]
-                    got = list(map(get, line))
-                    lost = [w for w, x in zip(line, got) if x is None] if None in got else []
-                    got = list(filter(None, got)) if lost else got
-                    first, second, *codes_ = map(math.fsum, zip(*got)) if got else [0.0] * (2 + parts)
-                    n_known += int(first)
-                    base.append(second)
-                    if lost:
-                        rest.append({"seg": at, "words": lost, "codes": codes_})
-                        size += len(lost)
-                    else:
-                        code.append(model.segment(codes_))
-                out.append((number, doc_id, held_out, len(own), n_known, math.fsum(base), math.fsum(code), rest))
+            for doc_id, text, held_out, its in rows_of(batch):
+                if its != chunk:
+                    if held:
+                        yield out()
+                        size = 0
+                    chunk = its
+                    keys, values = _codes_of(path, chunk)
+                line = tokens(text)
+                parts_ = pieces(line, order)
+                line.append(END)
+                got = list(map(get, line))
+                lost = Counter(w for w, x in zip(line, got) if x is None) if None in got else {}
+                if lost:
+                    got = [x for x in got if x is not None]
+                of.extend([len(held)] * len(parts_))
+                parts.extend(parts_)
+                held.append((number, doc_id, held_out, len(line), len(got), math.fsum(got), [{"word": w, "m": m} for w, m in lost.items()]))
                 number += 1
-                if size > 100_000:
-                    yield _batch(out, scored)
-                    out, size = [], 0
-            if out:
-                yield _batch(out, scored)
-
-    done = written(rows.select("doc_id", "text", "held_out").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, code double, rest array<struct<seg:long,words:array<binary>,codes:array<double>>>"), "scored")
-    runs = done.select("row", F.explode("rest").alias("x")).select("row", "x.seg", "x.words", "x.codes")
-    asked = runs.select("row", "seg", F.explode("words").alias("word")).join(known, "word")
-    live = [(i, t) for i, t in enumerate(model.terms) if t]
-    own = [F.when(F.col(f"c_{i}") > 0, F.log10((F.col(f"c_{i}") - F.lit(t[2])) / F.lit(float(t[1])))).otherwise(F.col("code") + F.lit(t[3])) for i, t in live] or [F.col("code")]
-    more = asked.groupBy("row", "seg").agg(F.count_if(F.col("c") > 0).alias("known"), F.sum(F.log10((F.col("c") + 0.5) / F.lit(model.whole))).alias("base"), *[F.sum(x).alias(f"s_{i}") for i, x in enumerate(own)])
-    both = runs.select("row", "seg", "codes").join(more, ["row", "seg"])
-    sums = [F.element_at("codes", i + 1) + F.col(f"s_{i}") + F.lit(share) for i, share in enumerate(model.shares or [0.0])]
-    top_ = F.greatest(*sums) if len(sums) > 1 else sums[0]
-    added = both.withColumn("top", top_).withColumn("code", F.col("top") + F.log10(sum((F.pow(F.lit(10.0), x - F.col("top")) for x in sums), F.lit(0.0))))
-    rest = added.groupBy("row").agg(F.sum("known").alias("more"), F.sum("base").alias("base_more"), F.sum("code").alias("code_more"))
+                size += sum(map(len, parts_))
+                if size > PIECE or len(held) == 1 << bits:
+                    yield out()
+                    size = 0
+        if held:
+            yield out()
+
+    scored = rows.select("doc_id", "text", "held_out", "chunk").mapInArrow(run, "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, rest array<struct<word:binary,m:long>>")
+    done = written(scored, "scored")
+    discard(rows)
+    asked = done.select("row", F.explode("rest").alias("x")).select("row", "x.word", "x.m").join(words, "word")
+    more = asked.groupBy("row").agg(F.sum(F.when(F.col("c") > 0, F.col("m")).otherwise(0)).alias("more"), F.sum(F.col("m") * F.log10((F.col("c") + 0.5) / F.lit(whole))).alias("base_more"))
     zero = lambda c: F.coalesce(c, F.lit(0))
-    return done.drop("rest").join(rest, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more")).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base") + zero("base_more")).alias("base_score"), (F.col("code") + zero("code_more")).alias("score"))
+    return done.drop("rest").join(more, "row", "left").select("doc_id", "held_out", "n_tokens", (F.col("n_known") + zero("more")).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"), (F.col("base") + zero("base_more")).alias("base_score"), "score")

@@ -106,28 +106,81 @@ def crc(doc_id, m):
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
 
 
+def plain_ppm(train: list[bytes], texts: list[bytes], order: int) -> list[float]:
+    """log10 probabilities of texts by a trie of dictionaries, byte by byte."""
+    grams = [Counter()] + [None] * order
+    grams[0] = Counter(line[i - order : i + 1] for line in (b"\n" * order + t for t in train) for i in range(order, len(line)))
+    for k in range(1, order + 1):
+        grams[k] = Counter(g[1:] for g in grams[k - 1])
+    trie = defaultdict(dict)
+    for level in grams:
+        for g, n in level.items():
+            trie[g[:-1]][g[-1]] = n
+    out = []
+    for line in (b"\n" * order + t for t in texts):
+        total = 0.0
+        for i in range(order, len(line)):
+            gone: set = set()
+            for at in range(i - order, i + 1):
+                of = {b: n for b, n in trie.get(line[at:i], {}).items() if b not in gone}
+                if not of:
+                    continue
+                if line[i] in of:
+                    total += math.log10((2 * of[line[i]] - 1) / (2 * sum(of.values())))
+                    break
+                total += math.log10(len(of) / (2 * sum(of.values())))
+                gone |= of.keys()
+            else:
+                total -= math.log10(256 - len(gone))
+        out.append(total)
+    return out
+
+
 def test_ppm(docs, rows, none):
     words = [[*re.findall(rb"[^\x20\x09-\x0D]+", bytes(c + 32 if 65 <= c <= 90 else c for c in t.encode())), b"\n"] for _, t in rows]
     counts = Counter(w for (i, _), own in zip(rows, words) if crc(i, 5) != 1 for w in own)
     n, v = sum(counts.values()), len(counts)
-    want = Counter((i, crc(i, 5) == 1, len(own), sum(counts[w] > 0 for w in own), n, round(sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), 4)) for (i, _), own in zip(rows, words))
-    whole = ppm.ppm_scores(docs).collect()
-    got = Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in whole)
-    assert got == want and all(r.score < 0 for r in whole)
-    joined = ppm.ppm_scores(docs, head=20).collect()  # most words by the join
-    key = lambda r: (r.doc_id is None, r.doc_id or 0, r.n_tokens)
-    for a, b in zip(sorted(whole, key=key), sorted(joined, key=key)):
-        assert a.n_known == b.n_known and abs(a.score - b.score) < 1e-6 * abs(a.score) and abs(a.base_score - b.base_score) < 1e-6 * abs(a.base_score)
+    lines = [b" ".join(own[:-1]) + b"\n" for own in words]
+    scores = plain_ppm([line for (i, _), line in zip(rows, lines) if crc(i, 5) != 1], lines, 5)
+    want = sorted((str(i), crc(i, 5) == 1, len(own), sum(counts[w] > 0 for w in own), n, sum(math.log10((counts[w] + 0.5) / (n + 0.5 * (v + 1))) for w in own), s) for (i, _), own, s in zip(rows, words, scores))
+    for head in (300_000, 20):  # 20: most words by the join
+        got = sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in ppm.ppm_scores(docs, head=head).collect())
+        assert [g[:5] for g in got] == [w[:5] for w in want]
+        assert np.allclose([g[5:] for g in got], [w[5:] for w in want], rtol=1e-9, atol=1e-6)
     assert ppm.ppm_scores(none).count() == 0
 
 
-def test_trie_adds_up_to_one():
-    lowest = {b"": {97: 3, 98: 1}, b"a": {98: 2}}
-    trie = ppm.Trie(lowest)
-    for gram in (b"xaab", b"xaac", b"yaab"):
-        trie.add(gram, 2, 2)
-    for context in (b"xaa", b"yaa", b"zz", b""):
-        assert abs(sum(10 ** trie.code(context + bytes([b])) for b in range(256)) - 1) < 1e-9
+def test_ppm_orders_and_pieces(spark, monkeypatch):
+    """Short and long contexts, texts cut into many pieces, and none to learn from."""
+    monkeypatch.setattr(ppm, "PIECE", 7)
+    held = [i for i in range(200) if crc(i, 5) == 1][:6]
+    texts = {i: f"abracadabra {i} cad abra {'zq' * (i % 9)}" for i in [*range(30), *held]}
+    frame = spark.createDataFrame(sorted(texts.items()), "doc_id long, text string")
+    lines = {i: b" ".join(t.encode().split()) + b"\n" for i, t in texts.items()}
+    for order in (0, 1, 2, 3, 6):
+        want = dict(zip(sorted(texts), plain_ppm([lines[i] for i in sorted(texts) if crc(i, 5) != 1], [lines[i] for i in sorted(texts)], order)))
+        got = {r.doc_id: r.score for r in ppm.ppm_scores(frame, order=order).collect()}
+        assert all(abs(got[i] - want[i]) < 1e-6 for i in want)
+    alone = ppm.ppm_scores(frame.where(F.col("doc_id").isin(held))).collect()
+    assert all(abs(r.score + len(lines[r.doc_id]) * math.log10(256)) < 1e-6 for r in alone)
+
+
+def test_ppm_sees_the_order_of_words(spark):
+    """A text in the order of the training texts scores above the same words in another."""
+    line = "one day the quick brown fox will jump over a lazy dog".split()
+    rows = [(i, " ".join(line[i % 4 :] + line[: i % 4])) for i in range(40) if crc(i, 5) != 1]
+    a, b = [i for i in range(40) if crc(i, 5) == 1][:2]
+    rows += [(a, " ".join(line)), (b, " ".join(np.random.default_rng(3).permutation(line)))]
+    got = {r.doc_id: (r.score, r.base_score) for r in ppm.ppm_scores(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[a][0] > got[b][0] + 1 and abs(got[a][1] - got[b][1]) < 1e-9
+
+
+def test_code_adds_up_to_one():
+    keys = np.array(sorted(int.from_bytes(g, "big") for g in (b"aab", b"aac", b"xab", b"abb", b"bbb")), np.uint64)
+    by_order = ppm.levels(keys, np.array([3, 1, 4, 1, 5]), 2, {})
+    for context in (b"aa", b"xa", b"zz", b"za", b"bb"):
+        asked = np.array([int.from_bytes(context + bytes([b]), "big") for b in range(256)], np.uint64)
+        assert abs((10 ** ppm.code(asked, by_order)).sum() - 1) < 1e-9
 
 
 def bag(text, size=5):
