@@ -38,14 +38,49 @@ def owners(keys: DataFrame, ring: DataFrame) -> DataFrame:
     return asked.join(dealt, "bucket").where((F.col("hash") > F.col("lo")) & (F.col("hash") <= F.col("hi"))).drop("bucket", "lo", "hi")
 
 
+def in_ranges(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+    """`keys` (with hash) with every range (range_id, lo, hi) that has their hash: lo <= hash < hi around the ring; equal ends hold
+    nothing. Like owners(), an equi-join on the first byte of the hash; streams may stand on the left."""
+    ends = F.when(F.col("lo") < F.col("hi"), F.array(F.struct(F.col("lo").alias("from"), F.col("hi").alias("to")))).when(
+        F.col("lo") > F.col("hi"), F.array(F.struct(F.col("lo").alias("from"), F.lit("g").alias("to")), F.struct(F.lit("").alias("from"), F.col("hi").alias("to"))))
+    byte = lambda c: F.conv(F.substring(c, 1, 2), 16, 10).cast("int")
+    cut = ranges.select("range_id", F.explode(ends).alias("e")).select("range_id", F.col("e.from").alias("range_from"), F.col("e.to").alias("range_to"))
+    first, last = F.when(F.col("range_from") == "", 0).otherwise(byte(F.col("range_from"))), F.when(F.col("range_to") == "g", 255).otherwise(byte(F.col("range_to")))
+    dealt = cut.withColumn("bucket", F.explode(F.sequence(first, last)))
+    asked = keys.withColumn("bucket", byte(F.col("hash")))
+    return asked.join(dealt, "bucket").where((F.col("hash") >= F.col("range_from")) & (F.col("hash") < F.col("range_to"))).drop("bucket", "range_from", "range_to")
+
+
+def add(ring: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ring with the virtual nodes of `nodes` (node_id, virtual_nodes) that it lacks."""
+    new = build(nodes.withColumn("state", F.lit("NORMAL")))
+    return ring.unionByName(new.join(ring.select("vnode_id"), "vnode_id", "left_anti"))
+
+
+def remove(ring: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The ring without the virtual nodes of `nodes` (node_id)."""
+    return ring.join(nodes.select("node_id"), "node_id", "left_anti")
+
+
 def successors(ring: DataFrame, count: int) -> DataFrame:
-    """For each virtual node the first `count` distinct nodes clockwise from it, with their rank from 1."""
+    """For each virtual node the first `count` distinct nodes clockwise from it, with their rank from 1; all of them where there
+    are fewer.
+
+    Each looks at a bounded number of virtual nodes ahead of it, in one sorted pass; the number grows until all have enough. The
+    ring has as many rows as virtual nodes, never keys.
+    """
+    size, nodes = ring.agg(F.count("*"), F.count_distinct("node_id")).first()
     ranked = ring.withColumn("pos", F.row_number().over(Window.orderBy("hash", "vnode_id")))
-    size = ring.count()
-    a = ranked.select(F.col("vnode_id").alias("start"), F.col("pos").alias("p"))
-    far = a.crossJoin(F.broadcast(ranked.select("node_id", "pos")) if size <= 100_000 else ranked.select("node_id", "pos"))
-    near = far.groupBy("start", "node_id").agg(F.min(F.pmod(F.col("pos") - F.col("p"), F.lit(size))).alias("away"))
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("start").orderBy("away"))).where(F.col("rank") <= count).select(F.col("start").alias("vnode_id"), F.col("node_id").alias("replica"), F.col("rank").cast("long").alias("rank"))
+    look, need = min(size, 8 * count), min(count, nodes)
+    while True:
+        around = ranked.union(ranked.where(F.col("pos") <= look).withColumn("pos", F.col("pos") + size))
+        ahead = F.array_distinct(F.collect_list("node_id").over(Window.orderBy("pos").rowsBetween(0, max(0, look - 1))))
+        listed = around.withColumn("ahead", ahead).where(F.col("pos") <= size)
+        if look >= size or listed.where(F.size("ahead") < need).isEmpty():
+            break
+        look = min(size, 4 * look)
+    each = listed.select("vnode_id", F.posexplode(F.slice("ahead", 1, count)).alias("at", "replica"))
+    return each.select("vnode_id", "replica", (F.col("at") + 1).cast("long").alias("rank"))
 
 
 def replicas(keys: DataFrame, ring: DataFrame, count: int) -> DataFrame:

@@ -51,7 +51,7 @@ def fold(state: DataFrame, arrival: str) -> DataFrame:
         pick = lambda n: F.when(take, x[n]).otherwise(s[n]).alias(n)
         return F.struct(pick("ts"), pick("node_id"), pick("e"), (s["conflict"] | (c == "Concurrent")).alias("conflict"))
 
-    out = met.withColumn("f", F.aggregate(F.slice("all", 2, 1_000_000), start, step))
+    out = met.withColumn("f", F.aggregate(F.slice(F.col("all"), F.lit(2), F.size("all")), start, step))
     return out.select(*KEY, F.col("f.node_id").alias("node_id"), F.col("f.ts").alias("ts"), clocks.shown(F.map_from_entries("f.e")).alias("clock"), F.col("f.conflict").alias("has_conflict"))
 
 
@@ -61,6 +61,36 @@ def compact(levels: DataFrame, whole: bool = True) -> DataFrame:
     return best.where("not is_tombstone") if whole else best
 
 
+def merge(files: DataFrame, whole: bool = True) -> DataFrame:
+    """One version a key of rows with clocks (vc): one that no other is after, and of concurrent ones the latest by ts, seq and
+    the text of the clock.
+
+    Rows of one key with equal clocks count once, the latest of them, before they meet; so a key has a row for each clock.
+    """
+    rest = [c for c in files.columns if c not in KEY and c not in ("ts", "seq", "vc")]
+    row = F.struct("ts", "seq", F.col("shown"), F.map_entries("vc").alias("entries"), *rest)
+    one = files.withColumn("shown", clocks.shown(F.col("vc"))).groupBy(*KEY, "shown").agg(F.max_by(row, F.struct("ts", "seq")).alias("v"))
+    met = one.groupBy(*KEY).agg(F.collect_list("v").alias("all"))
+    clock = lambda x: F.map_from_entries(x["entries"])
+    top = F.filter("all", lambda x: ~F.exists("all", lambda y: clocks.compare(clock(y), clock(x)) == "After"))
+    best = met.select(*KEY, F.array_max(top).alias("w"))
+    out = best.select(*KEY, "w.ts", "w.seq", F.map_from_entries("w.entries").alias("vc"), *[F.col(f"w.{c}").alias(c) for c in rest])
+    return out.where("not is_tombstone") if whole else out
+
+
+def due(levels: DataFrame, most: int = 100) -> DataFrame:
+    """The levels (level, files, bytes) that a round of compaction takes, lowest first, `most` at a time: four files in level 0, or
+    more bytes than the level may have."""
+    limit = F.lit(100_000.0) * F.pow(F.lit(10.0), F.greatest(F.col("level") - 2, F.lit(0)))
+    return levels.where(F.when(F.col("level") == 0, F.col("files") >= 4).otherwise(F.col("bytes") > limit)).orderBy("level").limit(most)
+
+
+def put_bytes(log: DataFrame) -> DataFrame:
+    """Bytes that a memtable counts for all puts, overwritten ones too, and the puts."""
+    size = F.octet_length("tenant_id") + 1 + F.octet_length("key") + F.coalesce(F.octet_length("value"), F.lit(0)) + 64
+    return log.agg(F.sum(size).cast("long").alias("bytes"), F.count("*").alias("n"))
+
+
 def quorum_read(requests: DataFrame, tenants: DataFrame, state: DataFrame) -> DataFrame:
     """Of each key asked for: replicas that have it, quorum, the winner and whether versions conflict.
 

@@ -19,10 +19,7 @@ SQL: dict[str, str] = {
     "kv_latest": f"select tenant_id, key, value, dead, seq, ts from ({LATEST}) x",
     "kv_live_keys": f"select tenant_id, key, seq from ({LATEST}) x where not dead",
     "op_counts": "select op, count(*) n from kv_log group by op",
-    "memtable_bytes": f"select cast(sum(octet_length(concat(tenant_id, ':', key)) + octet_length(value) + 64) as bigint) bytes, count(*) n from ({LATEST}) x",
     "log_seq_assign": "select tenant_id, seq, cast(row_number() over (partition by tenant_id order by seq) as bigint) tenant_seq from kv_log",
-    "segment_assign": "select seq, cast(floor((sum(octet_length(value) + 100) over (order by seq) - 1) / 65536.0) as bigint) segment from kv_log",
-    "flush_epochs": "select epoch, count(*) n, min(key) min_key, max(key) max_key from (select key, cast(floor((sum(octet_length(value) + octet_length(key) + 64) over (order by seq) - 1) / 131072.0) as bigint) epoch from kv_log) x group by epoch",
     # sorted files
     "lww_by_timestamp": "select tenant_id, key, value, ts, seq from (select *, row_number() over (partition by tenant_id, key order by ts desc, seq) rn from kv_log) x where rn = 1",
     "sst_point_get": "select tenant_id, key, value, ts from (select *, row_number() over (order by ts desc, seq) rn from kv_log where tenant_id = 't1' and key = 'k7') x where rn = 1",
@@ -31,70 +28,45 @@ SQL: dict[str, str] = {
     "sst_manifest": "select seq % 5 level, min(concat(tenant_id, ':', key)) min_key, max(concat(tenant_id, ':', key)) max_key, count(*) n, cast(sum(octet_length(value)) as bigint) bytes from kv_log group by seq % 5",
     "file_prune": "select file, min_key, max_key from (select seq div 100 file, min(concat(tenant_id, ':', key)) min_key, max(concat(tenant_id, ':', key)) max_key from kv_log group by seq div 100) x where 't0:k10' between min_key and max_key",
     "manifest_ops": "select level, n from (select seq % 5 level, count(*) n from kv_log group by seq % 5 union all select 5 level, count(*) n from kv_log where seq % 5 < 2) x where level not in (0, 1)",
-    "ordered_scan": "select concat(tenant_id, ':', key) composite_key, cast(row_number() over (order by concat(tenant_id, ':', key)) as bigint) rank from keys",
-    "key_range_page": "select key, count(*) over () > 10 has_more from (select key from keys where tenant_id = 't1' and key >= 'k1' and key <= 'k3' order by key limit 11) x order by key limit 10",
     "stream_keys_batches": "select key, cast((row_number() over (order by key) - 1) div 7 as bigint) batch from keys where tenant_id = 't2' and key between 'k1' and 'k3'",
     "has_key": f"select r.request_id from requests r where exists (select 1 from ({LATEST}) x where x.tenant_id = r.tenant_id and x.key = r.key and not x.dead)",
-    "replicate_keys": f"select l.tenant_id, l.key, x.value from (select distinct tenant_id, key from requests where request_id % 7 = 0) l join ({LATEST}) x on l.tenant_id = x.tenant_id and l.key = x.key",
     "point_read_tiered": "select tenant_id, key, tier, seq from (select *, row_number() over (partition by tenant_id, key order by tier, seq desc) rn from (select *, case when seq % 5 = 0 then 0 when seq % 5 = 1 then 1 else 2 end tier from kv_log) y) x where rn = 1 and not is_tombstone",
     # hashes and ranges
     "key_hash": "select tenant_id, key, hash from keys",
     "composite_key": "select composite, substr(composite, 1, instr(composite, ':') - 1) tenant_id, substr(composite, instr(composite, ':') + 1) key from (select concat(tenant_id, ':', key, ':x') composite from keys) x",
     "hash_range_scan": "select k.seq, x.hash from kv_log k join keys x on k.tenant_id = x.tenant_id and k.key = x.key where x.hash >= 'c000000000000000' or x.hash < '2000000000000000'",
     "hash_range_scan_dedup": "select k.tenant_id, k.key, max(k.ts) ts, max(x.hash) hash from kv_log k join keys x on k.tenant_id = x.tenant_id and k.key = x.key where x.hash >= '4000000000000000' and x.hash < '8000000000000000' group by k.tenant_id, k.key",
-    "hash_in_ranges": "select k.tenant_id, k.key, r.range_id from keys k join ranges r on (r.lo < r.hi and k.hash >= r.lo and k.hash < r.hi) or (r.lo > r.hi and (k.hash >= r.lo or k.hash < r.hi))",
     "ring_stats": "select node_id, count(*) n_vnodes from ring group by node_id",
     "ring_from_nodes": "select node_id, count(*) n from vnodes where state in ('NORMAL', 'LEAVING') group by node_id",
     "routable_nodes": "select node_id, state from nodes where state in ('NORMAL', 'BOOTSTRAPPING', 'LEAVING')",
     "authoritative_counts": "select count_if(state = 'NORMAL') authoritative, count(*) all_nodes from nodes",
     "list_nodes": "select node_id, state, virtual_nodes from nodes where state != 'DOWN' order by node_id",
     "removal_guard": "select node_id, n, n - 1 >= 3 allowed from nodes cross join (select count_if(state = 'NORMAL') n from nodes) x",
-    "range_estimate": "select range_id, cast(floor(n * case when lo < hi then share else share end) as bigint) keys from (select range_id, lo, hi, n, case range_id when 'r0' then 0.25 when 'r1' then 0.25 when 'r2' then 0.375 else 0.0 end share from ranges cross join (select count(*) n from keys) c) x",
     "ranges_merge": "with h as (select hash, row_number() over (order by hash) rn, node_id from ring), g as (select hash, node_id, rn - row_number() over (partition by node_id order by hash) grp from h) select node_id, min(hash) first_hash, max(hash) last_hash, count(*) n from g group by node_id, grp",
-    "cleanup_safe": "select change_id, case when status != 'completed' then 'not completed' when active > 0 then 'streaming still active' when hours < 24 then 'grace period not elapsed' when replicas < 2 then 'quorum not met' else 'safe' end verdict from (values ('a','in_progress',0,30,3),('b','completed',1,30,3),('c','completed',0,1,3),('d','completed',0,24,3),('e','completed',0,25,1)) v(change_id, status, active, hours, replicas)",
     # quorum
-    "required_replicas": "select rf, level, cast(case level when 'one' then 1 when 'quorum' then rf div 2 + 1 else rf end as bigint) required from (values (1),(2),(3),(5),(7)) a(rf) cross join (values ('one'),('quorum'),('all')) b(level)",
-    "consistency_normalize": "select request_id, case when consistency in ('one', 'quorum', 'all') then consistency else 'quorum' end level from requests",
     "tenant_enrich": "select r.request_id, r.tenant_id, t.replication_factor from requests r join tenants t on r.tenant_id = t.tenant_id",
     "quorum_write": "select k.seq, count(case when r.seq is not null then 1 end) acks, count(case when r.seq is not null then 1 end) >= 3 quorum_met from kv_log k left join replica_rows r on k.seq = r.seq group by k.seq",
     "idem_key_valid": "select request_id, coalesce(regexp_like(idempotency_key, '^[0-9a-f]{64}$'), false) valid from requests",
     "idem_store_key": "select request_id, concat('idempotency:', tenant_id, ':', key, ':', idempotency_key) store_key from requests where idempotency_key is not null",
     # hints
-    "hints_for_node": "select hint_id, created_at from (select hint_id, created_at, row_number() over (order by created_at, hint_id) rn from hints where target_node_id = 'n2') x where rn <= 100",
-    "list_hints": "select hint_id, target_node_id from (select *, row_number() over (order by created_at, hint_id) rn from hints where tenant_id = 't3' and created_at > 1705000000) x where rn > 20 and rn <= 70",
     "hint_count": "select target_node_id, count(*) n from hints group by target_node_id",
     "hint_totals": "select coalesce(target_node_id, 'all') node, count(*) n from hints group by rollup(target_node_id)",
-    "hint_cap": "select hint_id, target_node_id from (select *, row_number() over (partition by target_node_id order by created_at desc, hint_id desc) rn from hints) x where rn <= 100",
     "hint_expiry": f"select hint_id from hints where {AS_OF} - created_at > 10800",
     "hint_ack": "select hint_id from hints where not (target_node_id = 'n1' and replay_count = 0)",
-    "hint_replay_outcome": f"select hint_id, case when {AS_OF} - created_at > 604800 then 'expired' when replay_count >= 10 then 'dropped' when target_node_id = 'n4' then 'retry' else 'replayed' end outcome from hints",
     "durable_hint_replay": "select hint_id, target_node_id, (row_number() over (partition by target_node_id order by created_at, hint_id) - 1) div 100 batch, case when target_node_id = 'n4' and replay_count >= 3 then 'dropped' when target_node_id = 'n4' then 'kept' else 'written' end outcome from hints",
     # validation
-    "validate_rf": "select rf, rf between 1 and 10 valid from (values (0),(1),(3),(10),(11)) v(rf)",
-    "request_defaults": "select id, port between 1 and 65535 port_valid, coalesce(rf, 3) rf, coalesce(vnodes, 150) vnodes, coalesce(force, false) force from (values (1, 70000, 2, 100, true), (2, 8080, cast(null as int), cast(null as int), cast(null as boolean)), (3, 0, 3, 10, false)) v(id, port, rf, vnodes, force)",
     "write_size": "select request_id, cast(floor((3 * (octet_length(tenant_id) + octet_length(key) + octet_length(value)) + 350) * 6 / 5.0) as bigint) bytes from requests",
     # cache
-    "cache_score": "select tenant_id, key, cast(0.5 * count(*) as double) score from kv_log group by tenant_id, key",
     "cache_stats": f"select cast(sum(octet_length(value) + octet_length(key)) as bigint) bytes, count(*) entries, cast(sum(octet_length(value) + octet_length(key)) as double) * 100 / 1048576 usage_pct from ({LATEST}) x",
-    "cache_evict": "select tenant_id, key, n from (select *, sum(bytes) over (order by n desc, tenant_id, key rows between unbounded preceding and current row) used from (select tenant_id, key, count(*) n, max(octet_length(value)) + 64 bytes from kv_log group by tenant_id, key) y) x where used > 8192",
     "cache_adjust": "select share, cast(case when share > 0.7 then 0.3 when share < 0.3 then 0.7 else 0.5 end as double) frequency_weight from (select avg(case when ts > 1705600000 then cast(1 as double) else cast(0 as double) end) share from kv_log) x",
     # operations
-    "disk_gate": "select id, case when used >= 95 then 'reject' when used >= 90 and est > avail / 10.0 then 'reject' when est > avail then 'reject' else 'accept' end gate from (values (1, 96, 1, 100), (2, 91, 20, 100), (3, 91, 5, 100), (4, 50, 200, 100), (5, 50, 20, 100)) v(id, used, est, avail)",
-    "health_status": "select id, case when cpu > 90 or mem > 90 or disk > 90 then 'degraded' when err > 0.1 then 'unhealthy' else 'healthy' end status from (values (1, 95, 10, 10, 0.0), (2, 10, 10, 10, 0.2), (3, 10, 10, 10, 0.05)) v(id, cpu, mem, disk, err)",
-    "retry_schedule": "select code, attempt, code in ('Unavailable', 'DeadlineExceeded', 'Aborted', 'ResourceExhausted') retry, cast(100 * power(2, attempt - 1) as bigint) wait_ms from (values ('Unavailable'), ('Aborted'), ('NotFound')) a(code) cross join (values (1),(2),(3)) b(attempt)",
-    "error_map": "select code, case code when 'InvalidArgument' then 400 when 'NotFound' then 404 when 'AlreadyExists' then 409 when 'Aborted' then 409 when 'PermissionDenied' then 403 when 'Unauthenticated' then 401 when 'ResourceExhausted' then 429 when 'FailedPrecondition' then 412 when 'Unimplemented' then 501 when 'Unavailable' then 503 when 'DeadlineExceeded' then 504 else 500 end http from (values ('InvalidArgument'),('NotFound'),('AlreadyExists'),('Aborted'),('PermissionDenied'),('Unauthenticated'),('ResourceExhausted'),('FailedPrecondition'),('Unimplemented'),('Unavailable'),('DeadlineExceeded'),('Internal'),('Unknown')) v(code)",
     "response_project": f"select concat(tenant_id, '/', key) id, case when dead then 'not_found' else 'ok' end status, case when dead then null else value end value from ({LATEST}) x",
-    "pool_rates": "select id, cast(queued as double) * 100 / cap queue_pct, cast(done as double) * 100 / (done + failed) success_pct from (values (1, 10, 100, 90, 10), (2, 0, 100, 5, 0)) v(id, queued, cap, done, failed)",
     "latency_histogram": "select le, count(case when e.ms <= le then 1 end) n from (values (1),(10),(50),(100),(500)) b(le) cross join (select octet_length(value) ms from kv_log) e group by le",
     # movement
     "stream_progress": "select node_id, count(*) keys_copied, cast(sum(octet_length(value)) as bigint) bytes from replica_state group by node_id",
-    "live_forward": "select k.seq, r.range_id from kv_log k join keys x on k.tenant_id = x.tenant_id and k.key = x.key join ranges r on (r.lo < r.hi and x.hash >= r.lo and x.hash < r.hi) or (r.lo > r.hi and (x.hash >= r.lo or x.hash < r.hi)) where k.seq > 5000",
-    "stream_lifecycle": "select state, step, case when state = 'copying' and step = 'copied' then 'streaming' when state = 'streaming' and step = 'drained' then 'syncing' when state = 'syncing' and step = 'verified' then 'completed' when step = 'error' then 'failed' else state end next_state from (values ('copying'),('streaming'),('syncing'),('completed')) a(state) cross join (values ('copied'),('drained'),('verified'),('error')) b(step)",
     "range_diff": "select a.tenant_id, a.key from (select tenant_id, key, seq from replica_state where node_id = 'n0') a full outer join (select tenant_id, key, seq from replica_state where node_id = 'n1') b on a.tenant_id = b.tenant_id and a.key = b.key where a.seq is null or b.seq is null or a.seq != b.seq",
     # metadata
-    "tenant_occ_update": "select t.tenant_id, u.rf, case when u.version = t.version + 1 then u.rf else t.replication_factor end replication_factor, case when u.version = t.version + 1 then u.version else t.version end version, t.replication_factor old_factor from tenants t join (values ('t0', 3, 2), ('t1', 3, 5), ('t3', 2, 3)) u(tenant_id, rf, version) on t.tenant_id = u.tenant_id",
     "meta_point_get": "select tenant_id, replication_factor, version from tenants where tenant_id = 't2'",
-    "list_pending_changes": "select change_id, status, started from (values ('c1', 'completed', 10), ('c2', 'in_progress', 20), ('c3', 'in_progress', 30)) v(change_id, status, started) where status = 'in_progress' order by started desc",
     "repair_targets": "select s.tenant_id, s.key, s.node_id from replica_state s join (select tenant_id, key, max_by(node_id, seq * 10 + cast(substr(node_id, 2, 1) as bigint)) winner from replica_state group by tenant_id, key) w on s.tenant_id = w.tenant_id and s.key = w.key where s.node_id != w.winner",
     "clock_max": "select node_id, tenant_id, key, greatest(c0, c1, c2) highest from replica_state",
     "clock_merge": "select tenant_id, key, concat('c0=', cast(max(c0) as string), ',c1=', cast(max(c1) as string), ',c2=', cast(max(c2) as string)) clock from replica_state group by tenant_id, key",
@@ -102,6 +74,8 @@ SQL: dict[str, str] = {
     "idempotent_first": "select request_id from (select request_id, row_number() over (partition by tenant_id, key, idempotency_key order by request_id) rn from requests where idempotency_key is not null) x where rn = 1",
 }
 
+NOT_N1, NOT_N2 = "node_id != 'n1'", "node_id != 'n2'"
+RING_WITHOUT_N3 = "(select * from ring where node_id != 'n3')"
 PAIRS = "from replica_state a join replica_state b on a.tenant_id = b.tenant_id and a.key = b.key and a.node_id < b.node_id"
 _MORE, _LESS = "(a.c0 > b.c0 or a.c1 > b.c1 or a.c2 > b.c2)", "(a.c0 < b.c0 or a.c1 < b.c1 or a.c2 < b.c2)"
 TENANTS_EDGE = "select * from (values ('ok', 't1'), ('empty', ''), ('colon', 'a:b'), ('long', repeat('x', 257)), ('null', cast(null as string))) v(id, t)"
@@ -136,8 +110,8 @@ def _compared(name: str, of):
     return lambda s, d: _pairs(s, d).select("tenant_id", "key", "na", "nb", of(F.col("a"), F.col("b")).alias(name))
 
 
-def _replica_sql(count: int) -> str:
-    return f"""with owner as ({OWNER}), dist as (select o.tenant_id, o.key, r.node_id, min(concat(case when r.hash >= o.succ then '0' else '1' end, r.hash)) away from owner o cross join ring r group by o.tenant_id, o.key, r.node_id)
+def _replica_sql(count: int, ring: str = "ring") -> str:
+    return f"""with owner as ({OWNER.replace("ring", ring)}), dist as (select o.tenant_id, o.key, r.node_id, min(concat(case when r.hash >= o.succ then '0' else '1' end, r.hash)) away from owner o cross join {ring} r group by o.tenant_id, o.key, r.node_id)
       select tenant_id, key, replica, rank from (select tenant_id, key, node_id replica, row_number() over (partition by tenant_id, key order by away) rank from dist) x where rank <= {count}"""
 
 
@@ -168,10 +142,10 @@ OPERATORS = {
     "read_replicas": (lambda s, d: rings.replicas(table(s, d, "keys"), _ring(s, d), 1).select("tenant_id", "key", "replica", "rank"), _replica_sql(1)),
     "ranges_node_add": (lambda s, d: rings.moved(_ring(s, d), _without(_ring(s, d), "n3")), _moved_sql("true", "node_id != 'n3'")),
     "ranges_node_remove": (lambda s, d: rings.moved(_ring(s, d), _without(_ring(s, d), "n0")), _moved_sql("true", "node_id != 'n0'")),
-    "bootstrap_plan": (lambda s, d: rings.moved(_ring(s, d), _without(_ring(s, d), "n2")).groupBy("from_node", "to_node").agg(F.count("*").alias("n_ranges")), f"select from_node, to_node, count(*) n_ranges from ({_moved_sql('true', chr(110) + 'ode_id != ' + chr(39) + 'n2' + chr(39))}) x group by from_node, to_node"),
-    "decommission_plan": (lambda s, d: rings.moved(_ring(s, d), _without(_ring(s, d), "n1")).groupBy("from_node").agg(F.count("*").alias("n_ranges")), f"select from_node, count(*) n_ranges from ({_moved_sql('true', chr(110) + 'ode_id != ' + chr(39) + 'n1' + chr(39))}) x group by from_node"),
+    "bootstrap_plan": (lambda s, d: rings.moved(_ring(s, d), _without(_ring(s, d), "n2")).groupBy("from_node", "to_node").agg(F.count("*").alias("n_ranges")), f"select from_node, to_node, count(*) n_ranges from ({_moved_sql('true', NOT_N2)}) x group by from_node, to_node"),
+    "decommission_plan": (lambda s, d: rings.moved(_ring(s, d), _without(_ring(s, d), "n1")).groupBy("from_node").agg(F.count("*").alias("n_ranges")), f"select from_node, count(*) n_ranges from ({_moved_sql('true', NOT_N1)}) x group by from_node"),
     "replica_moves": (lambda s, d: rings.replicas(table(s, d, "keys"), _ring(s, d), 2).select("tenant_id", "key", "replica").exceptAll(rings.replicas(table(s, d, "keys"), _without(_ring(s, d), "n3"), 2).select("tenant_id", "key", "replica")),
-        f"select tenant_id, key, replica from ({_replica_sql(2)}) a except select tenant_id, key, replica from ({_replica_sql(2).replace('cross join ring r', chr(99) + 'ross join (select * from ring where node_id != ' + chr(39) + 'n3' + chr(39) + ') r').replace('from ring r where r.hash', 'from ring r where r.node_id != ' + chr(39) + 'n3' + chr(39) + ' and r.hash').replace('(select min(hash) from ring)', '(select min(hash) from ring where node_id != ' + chr(39) + 'n3' + chr(39) + ')')}) b"),
+        f"select tenant_id, key, replica from ({_replica_sql(2)}) a except select tenant_id, key, replica from ({_replica_sql(2, RING_WITHOUT_N3)}) b"),
     "vnode_parse": (lambda s, d: table(s, d, "vnodes").select("vnode_id", scalars.vnode_node(F.concat(F.lit("a-vnode-"), "vnode_id")).alias("node")), "select vnode_id, concat('a-vnode-', node_id) node from vnodes"),
     "clock_compare": (_compared("cmp", clocks.compare), f"select a.tenant_id, a.key, a.node_id na, b.node_id nb, case when {_MORE} and {_LESS} then 'Concurrent' when {_MORE} then 'After' when {_LESS} then 'Before' else 'Identical' end cmp {PAIRS}"),
     "clock_compare3": (_compared("cmp", clocks.compare3), f"select a.tenant_id, a.key, a.node_id na, b.node_id nb, case when {_MORE} and {_LESS} then 0 when {_MORE} then 1 when {_LESS} then -1 else 0 end cmp {PAIRS}"),
@@ -184,7 +158,6 @@ OPERATORS = {
     "compaction_merge": (lambda s, d: versions.compact(table(s, d, "kv_log")).select("tenant_id", "key", "value", "seq"), f"select tenant_id, key, value, seq from ({LATEST}) x where not dead"),
     "latency_summary": (lambda s, d: s.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.count("*").alias("n"), F.min("value").alias("least"), F.max("value").alias("most"), F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.99), 6).alias("p99")), "select event_type, count(*) n, min(value) least, max(value) most, round(quantile_cont(value, 0.5), 6) p50, round(quantile_cont(value, 0.99), 6) p99 from events group by event_type"),
     "range_checksum": (lambda s, d: table(s, d, "replica_state").groupBy("node_id", "tenant_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), F.col("seq").cast("string")))), ","), 256).alias("digest")), "select node_id, tenant_id, sha256(string_agg(concat(key, '=', cast(seq as string)), ',' order by concat(key, '=', cast(seq as string)))) digest from replica_state group by node_id, tenant_id"),
-    "log_replay": (lambda s, d: versions.latest(_log_lines(s, d).select(F.from_json("line", "SequenceNumber long, TenantID string, Key string, Value binary, OperationType string").alias("e")).select(F.col("e.TenantID").alias("tenant_id"), F.col("e.Key").alias("key"), F.col("e.Value").cast("string").alias("value"), F.col("e.SequenceNumber").alias("seq")).where("tenant_id like 't%'")).select("tenant_id", "key", "value", "seq"), "select tenant_id, key, max_by(value, seq) value, max(seq) seq from kv_log where seq % 97 != 0 group by tenant_id, key"),
     "log_integrity": (lambda s, d: _log_lines(s, d).select(F.crc32(F.regexp_replace("line", '"Checksum":[0-9]+}$', '"Checksum":0}').cast("binary")).alias("crc"), F.regexp_extract("line", '"Checksum":([0-9]+)}$', 1).cast("long").alias("own"), F.get_json_object("line", "$.SequenceNumber").cast("long").alias("seq")).agg(F.count_if(F.col("crc") == F.col("own")).alias("recovered"), F.count_if(F.col("crc") != F.col("own")).alias("skipped"), F.max("seq").alias("max_seq")), "select count_if(seq % 97 != 0) recovered, count_if(seq % 97 = 0) skipped, max(seq) max_seq from kv_log"),
     "crc32_rows": (lambda s, d: table(s, d, "kv_log").select("seq", F.crc32(F.col("value").cast("binary")).alias("crc")), None),
     "crc_frame": (lambda s, d: table(s, d, "kv_log").select("seq", scalars.crc_valid(scalars.crc_frame(F.col("value").cast("binary"))).alias("valid")), "select seq, true valid from kv_log"),
@@ -194,43 +167,17 @@ OPERATORS = {
     "validate_value": (lambda s, d: table(s, d, "requests").select("request_id", scalars.value_error(F.col("value"), 60).isNull().alias("valid")), "select request_id, octet_length(value) <= 60 valid from requests"),
     "validate_write": (lambda s, d: _write_edges(s, d).select("id", F.coalesce(scalars.write_error(F.col("t"), F.col("k"), F.col("v")), F.lit("")).alias("error")), "select * from (values ('ok', ''), ('empty', 'tenant_empty'), ('colon', 'tenant_colon'), ('long', 'tenant_too_long'), ('null', 'tenant_empty')) v(id, error)"),
     "validate_clock": (lambda s, d: _state(s, d).select("node_id", "tenant_id", "key", (F.size("vc") <= 1000) & F.forall(F.map_values("vc"), lambda v: v >= 0)).toDF("node_id", "tenant_id", "key", "valid"), "select node_id, tenant_id, key, true valid from replica_state"),
-    "sanitize": (lambda s, d: table(s, d, "keys").select("tenant_id", "key", F.trim(F.regexp_replace(F.concat(F.lit(" \x01"), "tenant_id", F.lit(":"), "key", F.lit(" ")), "[\\x00-\\x1f\\x7f:]", "")).alias("clean")), "select tenant_id, key, concat(tenant_id, key) clean from keys"),
-    "idempotent_writes": (lambda s, d: _accepted(table(s, d, "requests")), None),
-    "rate_limit": (lambda s, d: _limited(table(s, d, "requests")), None),
 }
 
 
-def _accepted(requests, ttl: int = 86_400):
-    """Requests that are carried out: a key is taken again only `ttl` seconds after the write that was stored for it."""
-    keyed = requests.where("idempotency_key is not null")
-    met = keyed.groupBy("tenant_id", "key", "idempotency_key").agg(F.array_sort(F.collect_list(F.struct("ts", "request_id"))).alias("all"))
-    start = F.struct(F.lit(None).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("ids"))
-
-    def step(s, x):
-        new = s["at"].isNull() | (x["ts"] - s["at"] > ttl)
-        return F.struct(F.when(new, x["ts"]).otherwise(s["at"]).alias("at"), F.when(new, F.concat(s["ids"], F.array(x["request_id"]))).otherwise(s["ids"]).alias("ids"))
-
-    out = met.select(F.explode(F.aggregate("all", start, step)["ids"]).alias("request_id"))
-    return out.union(requests.where("idempotency_key is null").select("request_id"))
-
-
-def _limited(requests, rate: int = 1, burst: int = 3):
-    """Whether a token bucket of each tenant and hour lets a request pass."""
-    met = requests.groupBy("tenant_id", (F.floor(F.col("ts") / 3600)).alias("hour")).agg(F.array_sort(F.collect_list(F.struct("ts", "request_id"))).alias("all"))
-    start = F.struct(F.lit(float(burst)).alias("left"), F.lit(None).cast("bigint").alias("at"), F.array().cast("array<struct<request_id:bigint,passed:boolean>>").alias("out"))
-
-    def step(s, x):
-        have = F.least(F.lit(float(burst)), s["left"] + F.coalesce(x["ts"] - s["at"], F.lit(0)) * rate)
-        passed = have >= 1.0
-        return F.struct(F.when(passed, have - 1).otherwise(have).alias("left"), x["ts"].alias("at"), F.concat(s["out"], F.array(F.struct(x["request_id"].alias("request_id"), passed.alias("passed")))).alias("out"))
-
-    return met.select(F.explode(F.aggregate("all", start, step)["out"]).alias("o")).select("o.request_id", "o.passed")
-
-
 def queries() -> dict:
+    from . import store_queries
+
     plain = {name: (lambda s, d, q=sql: spark_sql(s, d, q)) for name, sql in SQL.items()}
-    return plain | {name: f for name, (f, _) in OPERATORS.items()}
+    return plain | {name: f for name, (f, _) in (OPERATORS | store_queries.OPERATORS).items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: duck_sql(sql) for name, sql in SQL.items()} | {name: duck_sql(sql) for name, (_, sql) in OPERATORS.items() if sql}
+    from . import store_queries
+
+    return {name: duck_sql(sql) for name, sql in SQL.items()} | {name: duck_sql(sql) for name, (_, sql) in (OPERATORS | store_queries.OPERATORS).items() if sql}

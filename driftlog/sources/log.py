@@ -9,8 +9,12 @@ LINE = "SequenceNumber long, TenantID string, Key string, Value binary, VectorCl
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Log rows with `valid`: the line parses and its checksum, if not 0, is that of the line with checksum 0."""
-    line = spark.read.text(path)
+    """Log rows of files (a folder, a glob, or a list of either) with `valid`; files that go or cannot be read are passed by."""
+    return parsed(spark.read.option("ignoreCorruptFiles", "true").option("ignoreMissingFiles", "true").text(path))
+
+
+def parsed(line: DataFrame) -> DataFrame:
+    """Log rows of lines (value), with `valid`: the line parses and its checksum, if not 0, is that of the line with checksum 0."""
     bare = F.crc32(F.regexp_replace("value", '"Checksum":[0-9]+}$', '"Checksum":0}').cast("binary"))
     e = F.from_json("value", LINE)
     rows = line.select(e.alias("e"), bare.alias("crc"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions.scalars import composite_key, in_range, ring_hash, write_error
-from .operators import ring, versions
+from .operators import requests, ring, scans, versions
 
 
 def put(log: DataFrame, writes: DataFrame, op: str = "write") -> DataFrame:
@@ -34,6 +34,16 @@ def scan_hash_range(log: DataFrame, lo: str, hi: str) -> DataFrame:
     return log.where(in_range(ring_hash(composite_key(F.col("tenant_id"), F.col("key"))), F.lit(lo), F.lit(hi)))
 
 
+def repair(log: DataFrame, writes: DataFrame) -> DataFrame:
+    """`log` with the rows of `writes` as repairs, which are taken as they are."""
+    return log.unionByName(writes.withColumn("op", F.lit("repair")).withColumn("is_tombstone", F.lit(False)), allowMissingColumns=True)
+
+
 compact = versions.compact
+merge = versions.merge
 quorum_read = versions.quorum_read
+read = requests.read
+write = requests.write
+page = scans.page
+ring_of = ring.build
 replicas = ring.replicas
