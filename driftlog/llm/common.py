@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -18,9 +19,12 @@ ASCII_LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or a local one where it is unset."""
+    """The folder that the driver and all executors share: spark.checkpoint.dir. Where it is unset, a session on one machine
+    gets a temporary folder, and one on a cluster an error, as no folder of one machine would do there."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = os.path.join(tempfile.gettempdir(), "driftlog-shared")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -53,16 +57,34 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes tables of written() whose readers have been written themselves."""
+    for df in tables:
+        remove(df.sparkSession, df.written_to)
+
+
+def packed(docs: DataFrame, *keys: Column) -> DataFrame:
+    """All columns of `docs` in one struct `row`, beside `keys`: no name of theirs can clash. select("row.*") gives them back."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *keys)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker: long texts make batches of few rows.
+BATCH_BYTES = 4 << 20
+
+
 def importable(spark: SparkSession) -> None:
-    """Python workers started from now on find this package where the driver did (a path that executors have too, or none)."""
+    """Arrow batches are bounded by bytes, and Python workers started from now on find this package where the driver did (a path that executors have too, or none)."""
     root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     env = spark.sparkContext.environment
     if root not in env.get("PYTHONPATH", "").split(":"):
         env["PYTHONPATH"] = ":".join(filter(None, [env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")), root]))
@@ -79,9 +101,10 @@ def id_crc(col: Column) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary"))
 
 
-def rows_of(batch) -> Iterator[tuple]:
-    """The rows of an Arrow batch as tuples of Python values."""
-    return zip(*(c.to_pylist() for c in batch.columns))
+def rows_of(batch, size: int = 256) -> Iterator[tuple]:
+    """The rows of an Arrow batch as tuples of Python values, `size` at a time."""
+    for i in range(0, batch.num_rows, size):
+        yield from zip(*(c.to_pylist() for c in batch.slice(i, size).columns))
 
 
 def small(df: DataFrame, row_bytes: int, most_mb: int = 64) -> bool:
@@ -96,7 +119,22 @@ def pick_texts(docs: DataFrame, keys: DataFrame, key: Column) -> DataFrame:
     return written(keyed.join(side, "key", "left_semi").dropDuplicates(["key"]), "texts")
 
 
-def compare(pairs: DataFrame, found: DataFrame, judge, schema: str, share: int = 512) -> DataFrame:
+def spread(df: DataFrame, keys: list[str], other: str, share: int, weight: Column | None = None, salts: int = 64) -> tuple[DataFrame, DataFrame]:
+    """`df` with `parts` and `part`, by which the rows of a key are dealt to a task for each `share` of their weights (1 each if
+    not given); keys and parts.
+
+    A row's salt is a hash of `other`. Rows meet the number of parts by key and salt, so a hot key is dealt over `salts` tasks
+    there too, whatever its size; a key has a row for each salt that it has.
+    """
+    weight = F.lit(1) if weight is None else weight
+    salted = df.withColumn("salt", F.pmod(F.xxhash64(F.lit(17), F.col(other)), F.lit(salts)).cast("int"))
+    by_salt = salted.groupBy(*keys, "salt").agg(F.sum(weight).alias("weight"))
+    parts = by_salt.groupBy(*keys).agg(F.ceil(F.sum("weight") / share).cast("int").alias("parts"), F.collect_list("salt").alias("salt"))
+    dealt = salted.join(parts.select(*keys, F.explode("salt").alias("salt"), "parts"), [*keys, "salt"]).drop("salt")
+    return dealt.withColumn("part", F.pmod(F.xxhash64(other), F.col("parts")).cast("int")), parts.select(*keys, "parts")
+
+
+def compare(pairs: DataFrame, found: DataFrame, judge, schema: str, share: int = 128) -> DataFrame:
     """judge(center text, rows of (a, b, payload, text of b)) -> rows of `schema`, for the pairs (a, b, payload string).
 
     The members of a center `a` stream past it, its text sent once for each `share` of them: a hot center is dealt over many
@@ -105,8 +143,8 @@ def compare(pairs: DataFrame, found: DataFrame, judge, schema: str, share: int =
     import pyarrow as pa
 
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = pairs.groupBy("a").agg(F.ceil(F.count("*") / share).cast("int").alias("parts"))
-    members = pairs.join(parts, "a").join(found.withColumnRenamed("key", "b"), "b").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("part"), F.lit(1).alias("kind"), "b", "payload", "text")
+    dealt, parts = spread(pairs.select("a", "b", "payload"), ["a"], "b", share)
+    members = dealt.join(found.withColumnRenamed("key", "b"), "b").select("a", "part", F.lit(1).alias("kind"), "b", "payload", "text")
     centers = parts.join(found.withColumnRenamed("key", "a"), "a").select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("kind"), F.lit(None).cast(dict(pairs.dtypes)["b"]).alias("b"), F.lit(None).cast("string").alias("payload"), "text")
     both = centers.unionByName(members).repartition(n, "a", "part").sortWithinPartitions("a", "part", "kind", "b")
 
@@ -137,7 +175,7 @@ def _arrow(schema: str):
 class WordHashes(dict):
     """Word -> 64-bit hash, bounded."""
 
-    def __init__(self, limit: int = 400_000):
+    def __init__(self, limit: int = 100_000):
         self.limit = limit
 
     def __missing__(self, word: str) -> int:

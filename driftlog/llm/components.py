@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -32,8 +32,9 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         seen = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
         if seen == state:
             break
-        state = seen
-        now = written(_small(_large(now).distinct()).where("u != v").distinct(), "edges")
+        before, state = now, seen
+        now = written(_small(_large(now)).where("u != v").distinct(), "edges")
+        discard(before)
     else:
         raise RuntimeError(f"no fixed point in {rounds} rounds")
     return now.select("u", F.col("v").alias("root"))

@@ -3,11 +3,14 @@
 Of each document's suffixes (by words) only those at minimisers stay: the smallest hash of `anchor` words in every window of
 `window` places, the rightmost on ties. Two equal passages of anchor + window - 1 words (50) keep a suffix at the same place
 in both. The kept suffixes are range-sorted by the hash of their first words, document and place; equal neighbours form
-runs. Members of a run may agree in less than `least` words, and with each other in more than with the first. So of every
-suffix in a run all passages of `least` words that hold it (as the minimiser of their first places) are sorted in the same
-way, and each is matched with the first of its own run, also where the run crosses tasks (the tasks' first rows tell): a
-passage in a third of all documents is spread over many tasks and the result is the same for any split. A match is then
-extended left and right, word by word. No passage of `least` words is lost if that is anchor + window - 1 or more.
+runs. Each member of a run is matched with the first of the run, also where the run crosses tasks (the tasks' first rows
+tell), and the match is extended left and right, word by word.
+
+Members of a run may agree with each other in more words than with the first. A match that holds all passages of `least`
+words which have the member as their minimiser settles the member: what equals it there equals the first too. Of all other
+members, and of further places of a first document, the passages of `least` words are sorted in the same way, and each is
+matched with the first of its own run. So every passage of `least` words that an earlier document has is found, for any split
+into tasks, if `least` is anchor + window - 1 or more.
 
 Words are text between white space, as it is. Matches within one document are no repeats. Null text: as empty. Null ids come
 first in order and stay null. Repeated rows (equal id and text) are one document; an id with several texts has a result for
@@ -20,12 +23,11 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructField, StructType
 
-from .common import WordHashes, compare, mix, pick_texts, rows_of, texts, written
+from .common import WordHashes, compare, discard, mix, packed, pick_texts, rows_of, small, texts, written
 
 ANCHOR, WINDOW, LEAST = 40, 11, 50
 _WORD = re.compile(r"\S+")
@@ -82,21 +84,14 @@ def passages(hashes, ats, anchor: int, window: int, least: int):
     return places, grams[places]
 
 
-def _key_of(doc_id, text: str) -> str:
-    """Orders documents by id, nulls first, then tells texts of one id apart."""
-    import xxhash
-
-    number = "0" * 17 if doc_id is None else f"1{doc_id + (1 << 63):016x}"
-    return f"{number}{xxhash.xxh64_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+def _key(doc_id: str = "doc_id", text: str = "text"):
+    """Orders documents by id, nulls first, then tells texts of one id apart; a column."""
+    number = F.lpad(F.hex(F.col(doc_id).cast("long").bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+    return F.concat(F.coalesce(F.concat(F.lit("1"), number), F.lit("0" * 17)), F.lpad(F.hex(F.xxhash64(F.coalesce(F.col(text), F.lit("")))), 16, "0"))
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = list(rows_of(batch))
-            yield pa.record_batch([pa.array([_key_of(*r) for r in rows], pa.string()), batch.column(0), batch.column(1)], names=["key", "doc_id", "text"])
-
-    return docs.mapInArrow(run, "key string, doc_id long, text string")
+    return docs.select(_key().alias("key"), "text")
 
 
 def kept_suffixes(docs: DataFrame, anchor: int, window: int) -> DataFrame:
@@ -106,16 +101,16 @@ def kept_suffixes(docs: DataFrame, anchor: int, window: int) -> DataFrame:
         hashes = WordHashes()
         for batch in batches:
             keys, at, grams = [], [], []
-            for doc_id, text in rows_of(batch):
+            for key, text in rows_of(batch):
                 places, own = suffixes(hashes.array(text.split()), anchor, window)
                 if len(places):
-                    keys += [_key_of(doc_id, text)] * len(places)
+                    keys += [key] * len(places)
                     at.append(places)
                     grams.append(own.view(np.int64))
             if keys:
                 yield pa.record_batch([pa.array(np.concatenate(grams)), pa.array(keys, pa.string()), pa.array(np.concatenate(at).astype(np.int32))], names=["g", "key", "at"])
 
-    return docs.mapInArrow(run, "g long, key string, at int")
+    return _keyed(docs).mapInArrow(run, "g long, key string, at int")
 
 
 def long_passages(found: DataFrame, anchor: int, window: int, least: int) -> DataFrame:
@@ -124,7 +119,7 @@ def long_passages(found: DataFrame, anchor: int, window: int, least: int) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np
 
-        hashes = WordHashes(100_000)
+        hashes = WordHashes()
         for batch in batches:
             for i in range(batch.num_rows):  # one text at a time as Python values
                 key, text, ats = (c[i].as_py() for c in batch.columns)
@@ -137,6 +132,7 @@ def long_passages(found: DataFrame, anchor: int, window: int, least: int) -> Dat
 
 
 _MATCH = "g long, key string, at int, first string, first_at int"
+_SPAN = "key string, first_key string, start long, end long, first_start long"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,65 +168,93 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _matched(rows: DataFrame, name: str) -> DataFrame:
-    """key, at, first, first_at: the rows g, key, at with the first of equal g, wherever there are several."""
+    """key, at, first, first_at: the rows g, key, at with the first of equal g, wherever there are several; written."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    runs = written(rows.repartitionByRange(n, "g", "key", "at").sortWithinPartitions("g", "key", "at").mapInArrow(_neighbours, _MATCH), name)
+    runs = written(rows.repartitionByRange(n, "g", "key", "at").sortWithinPartitions("g", "key", "at").mapInArrow(_neighbours, _MATCH), name + "-runs")
     # a run that crosses tasks began at the least of their first rows and of the first rows of their last runs: two rows a task
-    starts = runs.where("first is null").groupBy("g").agg(F.min(F.struct("key", "at")).alias("f"))
-    return runs.join(F.broadcast(starts), "g", "left").select("key", "at", F.coalesce("f.key", "first").alias("first"), F.coalesce("f.at", "first_at").alias("first_at"))
+    starts = written(runs.where("first is null").groupBy("g").agg(F.min(F.struct("key", "at")).alias("f")), name + "-starts")
+    side = F.broadcast(starts) if small(starts, 128) else starts
+    met = runs.join(side, "g", "left").select("key", "at", F.coalesce("f.key", "first").alias("first"), F.coalesce("f.at", "first_at").alias("first_at"))
+    out = written(met.where("key != first or at != first_at"), name)
+    discard(runs, starts)
+    return out
 
 
 class _Extend:
-    """Matches of a member with the center, grown left and right from the matched suffixes."""
+    """Matches of a member with the center, grown left and right from the matched places.
+
+    A row (key, first_key, start, end, first_start) for each match of `least` words, and a row (key, null, place, ...) for each
+    place that is not settled: where some passage that has it as its minimiser ends beyond the match.
+    """
 
-    def __init__(self, anchor: int, least: int):
-        self.anchor, self.least = anchor, least
+    def __init__(self, size: int, least: int, window: int):
+        self.size, self.least, self.window = size, least, window
 
     def center(self, text: str) -> None:
         self.words = text.split()
 
     def member(self, a, b, payload, text):
-        mine, other, ends = text.split(), self.words, {}
+        mine, other, found = text.split(), self.words, {}
         for part in payload.split(" "):
             at, there = map(int, part.split(":"))
             shift = at - there
-            if at + self.anchor <= ends.get(shift, -1) or mine[at : at + self.anchor] != other[there : there + self.anchor]:
-                continue
-            lo, hi = at, at + self.anchor
-            stop = max(0, shift)
-            while lo > stop and mine[lo - 1] == other[lo - 1 - shift]:
-                lo -= 1
-            stop = min(len(mine), len(other) + shift)
-            while hi < stop and mine[hi] == other[hi - shift]:
-                hi += 1
-            ends[shift] = hi
-            if hi - lo >= self.least:
-                yield b, a, lo, hi, lo - shift
+            lo, hi = found.get(shift, (0, -1))
+            if at + self.size > hi:
+                if mine[at : at + self.size] != other[there : there + self.size]:  # equal hashes of other words
+                    yield b, None, at, at, at
+                    continue
+                lo, hi = at, at + self.size
+                stop = max(0, shift)
+                while lo > stop and mine[lo - 1] == other[lo - 1 - shift]:
+                    lo -= 1
+                stop = min(len(mine), len(other) + shift)
+                while hi < stop and mine[hi] == other[hi - shift]:
+                    hi += 1
+                found[shift] = lo, hi
+                if hi - lo >= self.least:
+                    yield b, a, lo, hi, lo - shift
+            if max(0, at - self.window + 1) < lo or min(len(mine), at + self.least) > hi:
+                yield b, None, at, at, at
+
+
+def _extended(matched: DataFrame, found: DataFrame, size: int, least: int, window: int, name: str) -> DataFrame:
+    """The rows of _Extend for the matches (key, at, first, first_at) of different documents, written."""
+    # of neighbours at one distance only the first is kept where places follow each other by one word: its extension has the
+    # others; the distance stands in the upper half, so that the hashes of long values in a set do not meet
+    place = F.shiftleft((F.col("at") - F.col("first_at")).cast("long"), 32) + F.col("at")
+    pairs = matched.where("first != key").groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.collect_list(place).alias("p"))
+    alone = F.col("p") if window > 1 else F.array_except("p", F.transform("p", lambda x: x + 1))
+    alone = F.array_sort(F.transform(alone, lambda x: F.struct(x.bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), F.shiftright(x, 32).alias("shift"))))
+    pairs = pairs.select("a", "b", F.array_join(F.transform(alone, lambda x: F.concat(x["at"].cast("string"), F.lit(":"), (x["at"] - x["shift"]).cast("string"))), " ").alias("payload"))
+    pairs = written(pairs, name + "-pairs")
+    out = written(compare(pairs, found, lambda: _Extend(size, least, window), _SPAN), name)
+    discard(pairs)
+    return out
 
 
 def repeats(docs: DataFrame, anchor: int = ANCHOR, window: int = WINDOW, least: int = LEAST) -> DataFrame:
     """key, first_key, start, end, first_start: words start..end of a document stand in an earlier one (by id) at first_start.
 
-    Shuffled are the kept suffixes (about a sixth of the words, some 30 bytes each), the passages of `least` words around those
-    that are not alone, and the texts with matches.
+    Shuffled are the kept suffixes (about a sixth of the words, some 30 bytes each), the texts with matches, and the passages of
+    `least` words around the suffixes that the first match does not settle.
     """
     docs = texts(docs)
     kept = written(kept_suffixes(docs, anchor, window), "suffixes")
-    met = _matched(kept, "runs")
-    ats = met.select("key", "at").union(met.select("first", "first_at").distinct()).groupBy("key").agg(F.collect_set("at").alias("ats"))
-    ats = written(ats, "places")
-    found = pick_texts(_keyed(docs), ats.select("key"), F.col("key"))
+    met = _matched(kept, "matches")
+    keys = written(met.select("key").union(met.select("first")).distinct(), "keys")
+    found = pick_texts(_keyed(docs), keys, F.col("key"))
+    spans = _extended(met, found, anchor, least, window, "spans")
+    # members that are still open, the places of their firsts, and further places of a first document
+    open_ = spans.where("first_key is null").select("key", F.col("start").cast("int").alias("at"))
+    again = met.where("first = key").select("key", "at")
+    ats = written(open_.union(again).groupBy("key").agg(F.collect_set("at").alias("ats")), "places")
     longer = written(long_passages(found.join(ats, "key").select("key", "text", "ats"), anchor, window, least), "passages")
-    matched = _matched(longer, "passage-runs").where("first != key")
-    # of matches at one distance only those are kept that do not follow another by one word: the others are in its extension;
-    # the distance stands in the upper half, so that the hashes of long values in a set do not meet
-    place = F.shiftleft((F.col("at") - F.col("first_at")).cast("long"), 32) + F.col("at")
-    pairs = matched.groupBy(F.col("first").alias("a"), F.col("key").alias("b")).agg(F.collect_list(place).alias("p"))
-    alone = F.array_sort(F.transform(F.array_except("p", F.transform("p", lambda x: x + 1)), lambda x: F.struct(x.bitwiseAND(F.lit((1 << 32) - 1)).alias("at"), F.shiftright(x, 32).alias("shift"))))
-    pairs = pairs.select("a", "b", F.array_join(F.transform(alone, lambda x: F.concat(x["at"].cast("string"), F.lit(":"), (x["at"] - x["shift"]).cast("string"))), " ").alias("payload"))
-    pairs = written(pairs, "pairs")
-    spans = compare(pairs, found, lambda: _Extend(least, least), "key string, first_key string, start long, end long, first_start long")
-    return spans
+    more = _matched(longer, "passage-matches")
+    late = _extended(more, found, least, least, 1, "late-spans")
+    discard(kept, met, keys, found, ats, longer, more)
+    # of matches with the same bounds the earliest document counts
+    both = spans.union(late).where("first_key is not null").groupBy("key", "start", "end").agg(F.min(F.struct("first_key", "first_start")).alias("f"))
+    return both.select("key", "f.first_key", "start", "end", "f.first_start")
 
 
 def _id(key: str):
@@ -251,40 +275,32 @@ def without_repeats(docs: DataFrame, **params) -> DataFrame:
     A document left without words goes. Text around a cut stays as it is.
     """
     spans = repeats(docs, **params)
-    cuts = spans.groupBy("key").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
-    names = docs.columns
-
-    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids, texts_ = batch.column(names.index("doc_id")).to_pylist(), batch.column(names.index("text")).to_pylist()
-            own = pa.array([_key_of(i, t or "") for i, t in zip(ids, texts_)], pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, own], names=[*names, "_key"])
+    cuts = spans.groupBy(F.col("key").alias("cut_key")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("cuts"))
+    names, at_text = docs.columns, docs.columns.index("text")
+
+    def cut_text(text: str, spans_: list) -> str:
+        at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
+        parts, begin = [], 0
+        for s in spans_:
+            if at[s["start"]] > begin:
+                parts.append(text[begin : at[s["start"]]])
+            begin = max(begin, at[s["end"]])
+        return "".join(parts) + text[begin:]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, spans_ in zip(batch.column(names.index("text")).to_pylist(), batch.column(len(names)).to_pylist()):
-                if not spans_:
-                    out.append(text)
-                    continue
-                at = [m.start() for m in _WORD.finditer(text)] + [len(text)]
-                parts, begin = [], 0
-                for s in spans_:
-                    if at[s["start"]] > begin:
-                        parts.append(text[begin : at[s["start"]]])
-                    begin = max(begin, at[s["end"]])
-                left = "".join(parts) + text[begin:]
-                out.append(left if left.split() else None)
-            columns = list(batch.columns[: len(names)])
-            columns[names.index("text")] = pa.array(out, pa.string())
-            gone = pa.array([bool(s) and t is None for t, s in zip(out, batch.column(len(names)).to_pylist())])
-            result = pa.RecordBatch.from_arrays(columns, names=names)
-            yield result.filter(pa.compute.invert(gone))
-
-    keyed = docs.mapInArrow(keys, StructType([*docs.schema.fields, StructField("_key", StringType())]))
-    side = cuts.withColumnRenamed("key", "_cut_key")
-    joined = keyed.join(side, F.col("_key") == F.col("_cut_key"), "left").select(*[F.col(f"`{c}`") for c in names], "cuts")
-    out = joined.mapInArrow(cut, docs.schema)
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch = whole.slice(i, 256)
+                fields, spans_ = batch.column(0).flatten(), batch.column(1).to_pylist()
+                out = [cut_text(t, s) if s else t for t, s in zip(fields[at_text].to_pylist(), spans_)]
+                keep = pa.array([not s or bool(t.split()) for t, s in zip(out, spans_)], pa.bool_())
+                fields[at_text] = pa.array(out, pa.string())
+                row = pa.StructArray.from_arrays(fields, fields=list(batch.schema.field(0).type))
+                yield pa.record_batch([row], names=["row"]).filter(keep)
+
+    keyed = packed(docs, _key().alias("key"))
+    joined = keyed.join(cuts, F.col("key") == F.col("cut_key"), "left").select("row", "cuts")
+    out = joined.mapInArrow(cut, StructType([StructField("row", docs.schema)])).select("row.*")
     if "n_chars" in names:
         out = out.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*[F.col(f"`{c}`") for c in names])
+    return out
