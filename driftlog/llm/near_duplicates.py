@@ -8,10 +8,11 @@ weighted Jaccard similarity. Points are drawn in order up to a time by which all
 a document costs its shingles and a fixed number of points.
 
 Equal texts collapse first. Texts that agree in a band are candidates. In each band the text with the most company is the
-center; members are compared with it exactly. Then only pairs in a band from different components are still open: their
-signatures are compared in blocks of rows, and all pairs whose agreement is not four standard deviations below that of the
-threshold are compared exactly there, in the first band that they share, so groups of copies are never expanded into rows of
-pairs.
+center; members are compared with it exactly. Then only pairs in a band from different components are still open. Their
+signatures (no texts) are compared in blocks of rows, in the first band that they share; the rows of a block with a partner
+whose agreement is not four standard deviations below that of the threshold get their texts, and such pairs are compared
+exactly there, unless links found before join them. Groups of copies are never expanded into rows of pairs. A pair of
+similarity 0.8 is lost with a probability below 0.0001 (bands and agreement together).
 
 Words are lower-cased text between white space. Texts of fewer than five words are one shingle. Null text: as empty; empty
 texts are equal texts. Null ids get the class id of their class (null if it has no other). Repeated rows: a row each. Empty
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WordHashes, compare, mix, pick_texts, rolled, rows_of, texts, written
+from .common import WordHashes, compare, discard, mix, packed, pick_texts, rolled, rows_of, spread, texts, written
 from .components import components
 
 SHINGLE = 5
@@ -97,7 +98,7 @@ def banded(docs: DataFrame, bands: int, rows: int) -> DataFrame:
                 s = rolled(hashes.array(text.lower().split()), SHINGLE)
                 part.append((doc_id, th, s))
                 held += len(s)
-                if held > 200_000:
+                if held > 50_000:
                     yield out(part)
                     part, held = [], 0
             if part:
@@ -136,66 +137,101 @@ class _Overlap:
             yield a, b
 
 
-def _close(members: DataFrame, threshold: float, m: int, block: int = 512) -> DataFrame:
-    """Pairs (a, b) that hold, of a band's members (band, key, th, n, root, sig, bands, text) with different roots, and sizes and
-    signatures that allow it. A band's members are dealt into blocks of about `block` rows, and a task holds two blocks at a time."""
+_OPEN = ["band", "key", "i", "j", "own", "th", "n", "root", "sig", "bands"]
+
+
+def _candidates(rows: list, threshold: float, m: int):
+    """Of the rows (of _OPEN) of two blocks, or one with itself: both sides, and the places of the pairs in them that may hold: of
+    different roots, of sizes and signatures that allow it, in the first band that they share."""
+    import numpy as np
+
+    band, _, i, j = rows[0][:4]
+    sides = [[r for r in rows if r[4] == x] for x in (i, j)]
+    if not all(sides):
+        return sides, ()
+    number: dict = {}
+    size, root, sig, keys = zip(*((np.array([r[6] for r in s], float), np.array([number.setdefault(r[7], len(number)) for r in s]), np.frombuffer(b"".join(r[8] for r in s), "<u2").reshape(len(s), -1), np.array([r[9] for r in s])) for s in sides))
+    open_ = root[0][:, None] != root[1][None, :]
+    open_ &= np.minimum(size[0][:, None], size[1][None, :]) >= threshold * np.maximum(size[0][:, None], size[1][None, :])
+    if i == j:
+        open_ &= np.arange(len(size[0]))[:, None] < np.arange(len(size[1]))[None, :]
+    if not open_.any():
+        return sides, ()
+    same = np.zeros(open_.shape, np.int16)
+    for c in range(m):
+        same += sig[0][:, c][:, None] == sig[1][:, c][None, :]
+    x, y = np.nonzero(open_ & (same >= threshold * m - 4 * (m * threshold * (1 - threshold)) ** 0.5))
+    first = np.concatenate([np.empty(0, bool), *((keys[0][x[k : k + 10_000]] == keys[1][y[k : k + 10_000]]).argmax(1) == band for k in range(0, len(x), 10_000))])
+    return sides, list(zip(x[first].tolist(), y[first].tolist()))
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], each) -> Iterator[pa.RecordBatch]:
+    """each(rows) for the rows of each pair of blocks, which stand together."""
+    at, held = None, []
+    for batch in batches:
+        for row in rows_of(batch):
+            if row[:4] != at:
+                if held:
+                    yield from each(held)
+                at, held = row[:4], []
+            held.append(row)
+    if held:
+        yield from each(held)
+
+
+def _close(members: DataFrame, found: DataFrame, threshold: float, m: int, share: int = 200_000) -> DataFrame:
+    """Pairs (a, b) that hold, of a band's members (band, key, th, n, root, sig, bands) with different roots; written.
+
+    A band's members are dealt into blocks of about `share` shingles, and a task holds two blocks at a time. A member goes to a
+    task for each block of its band without its text (some 400 bytes), and with it only where it may have a partner.
+    """
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    need = threshold * m - 4 * (m * threshold * (1 - threshold)) ** 0.5
-    blocks = members.groupBy("band", "key").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = members.join(blocks, ["band", "key"]).withColumn("own", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "th", "n", "root", "sig", "bands", "text")
+    dealt, _ = spread(members, ["band", "key"], "th", share, F.col("n") + 100)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), F.col("part").alias("own"), "th", "n", "root", "sig", "bands")
+    met = lambda df: df.repartition(n, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
 
-    def pairs(rows: list, i: int, j: int, judge: _Overlap) -> list:
-        import numpy as np
+    def may(rows: list) -> Iterator[pa.RecordBatch]:
+        sides, hits = _candidates(rows, threshold, m)
+        kept = {side[at][5]: side[at] for k, side in enumerate(sides) for at in {h[k] for h in hits}}
+        if kept:
+            kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*kept.values()), kinds)], names=_OPEN)
+
+    kept = written(met(dealt).mapInArrow(lambda batches: _blocks(batches, may), "band int, key long, i int, j int, own int, th binary, n long, root binary, sig binary, bands array<long>"), "kept")
 
-        sides = [[r for r in rows if r[4] == x] for x in (i, j)]
-        if not all(sides):
-            return []
-        sig = [np.frombuffer(b"".join(r[8] for r in s), "<u2").reshape(len(s), -1) for s in sides]
-        size = [np.array([r[6] for r in s], float) for s in sides]
-        number: dict = {}
-        root = [np.array([number.setdefault(r[7], len(number)) for r in s]) for s in sides]
-        same = np.zeros((len(sides[0]), len(sides[1])), np.int16)
-        for c in range(m):
-            same += sig[0][:, c][:, None] == sig[1][:, c][None, :]
-        ratio = np.minimum(size[0][:, None], size[1][None, :]) >= threshold * np.maximum(size[0][:, None], size[1][None, :])
-        hits = np.argwhere((same >= need) & ratio & (root[0][:, None] != root[1][None, :]))
-        keys = [np.array([r[9] for r in s]) for s in sides]
-        first = [(keys[0][x] == keys[1][y]).argmax() == rows[0][0] for x, y in hits]
-        bags: dict = {}
+    def hold(rows: list) -> Iterator[pa.RecordBatch]:
+        judge, bags, above = _Overlap(threshold), {}, {}
+        sides, hits = _candidates(rows, threshold, m)
+
+        def root(x):
+            while x in above:
+                x = above[x]
+            return x
 
         def bag(r):
             if r[5] not in bags:
                 bags[r[5]] = judge.bag_of(r[10])
             return bags[r[5]]
 
-        hits = [(sides[0][x], sides[1][y]) for (x, y), f in zip(hits.tolist(), first) if f and (i != j or x < y)]
-        return [tuple(sorted((a[5], b[5]))) for a, b in hits if judge.holds(bag(a), bag(b))]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held, out, judge = None, [], [], _Overlap(threshold)
-        for batch in batches:
-            for row in rows_of(batch):
-                if row[:4] != at:
-                    if held:
-                        out += pairs(held, at[2], at[3], judge)
-                    at, held = row[:4], []
-                held.append(row)
-                if len(out) > 20_000:
-                    yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
-                    out = []
-        if held:
-            out += pairs(held, at[2], at[3], judge)
+        out = []
+        for x, y in hits:
+            a, b = sides[0][x], sides[1][y]
+            u, v = root(a[7]), root(b[7])
+            if u != v and judge.holds(bag(a), bag(b)):
+                above[max(u, v)] = min(u, v)
+                out.append((a[5], b[5]))
         if out:
             yield pa.record_batch([pa.array(c, pa.binary()) for c in zip(*out)], names=["a", "b"])
 
-    ordered = dealt.repartition(n, "band", "key", "i", "j").sortWithinPartitions("band", "key", "i", "j")
-    return ordered.mapInArrow(run, "a binary, b binary")
+    texts_ = kept.join(found.withColumnRenamed("key", "th"), "th").select(*_OPEN, "text")
+    out = written(met(texts_).mapInArrow(lambda batches: _blocks(batches, hold), "a binary, b binary"), "more")
+    discard(kept)
+    return out
 
 
 def _alike(pairs: DataFrame, found: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) that hold, written."""
-    out = compare(pairs.select("a", "b", F.lit(None).cast("string").alias("payload")), found, lambda: _Overlap(threshold), "a binary, b binary")
+    out = compare(pairs.withColumn("payload", F.lit(None).cast("string")), found, lambda: _Overlap(threshold), "a binary, b binary")
     return written(out, "links")
 
 
@@ -210,13 +246,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     signed = written(banded(docs, bands, rows), "signatures")
     one = signed.dropDuplicates(["th"])
     keyed = one.select("th", "n", F.posexplode("bands").alias("band", "key"))
-    many = keyed.groupBy("band", "key").agg(F.count("*").alias("company")).where("company > 1")
+    many = written(keyed.groupBy("band", "key").agg(F.count("*").alias("company")).where("company > 1"), "many")
     members = written(keyed.join(many, ["band", "key"]).select("band", "key", "th", "n", "company"), "members")
 
-    found = pick_texts(docs, written(members.select(F.col("th").alias("key")).distinct(), "keys"), F.col("th"))
+    keys = written(members.select(F.col("th").alias("key")).distinct(), "keys")
+    found = pick_texts(docs, keys, F.col("th"))
     company = members.groupBy("th").agg(F.sum("company").alias("all"))
     ranked = members.join(company, "th").select("band", "key", "th", "n", F.struct("all", "th", "n").alias("rank"))
-    centers = ranked.groupBy("band", "key").agg(F.max("rank").alias("c"))
+    # the sides of joins by band are tables, so Spark can split a hot band
+    centers = written(ranked.groupBy("band", "key").agg(F.max("rank").alias("c")), "centers")
     fits = lambda x, y: F.least(x, y) >= threshold * F.greatest(x, y)
     stars = ranked.join(centers, ["band", "key"]).where((F.col("c.th") != F.col("th")) & fits(F.col("c.n"), F.col("n")))
     tried = written(stars.select(F.col("c.th").alias("a"), F.col("th").alias("b")).distinct(), "stars")
@@ -224,10 +262,11 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
 
     roots = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     placed = members.join(roots, members["th"] == roots["u"], "left").select("band", "key", "th", "n", F.coalesce("root", "th").alias("root"))
-    mixed = placed.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "key")
-    open_ = written(placed.join(mixed, ["band", "key"]), "open")
-    rows_ = open_.join(one.select("th", "sig", "bands"), "th").join(found.withColumnRenamed("key", "th"), "th")
-    more = written(_close(rows_, threshold, bands * rows).distinct(), "more")
+    placed = written(placed, "placed")
+    mixed = written(placed.groupBy("band", "key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 != r1").select("band", "key"), "mixed")
+    open_ = written(placed.join(mixed, ["band", "key"]).join(one.select("th", "sig", "bands"), "th"), "open")
+    more = _close(open_, found, threshold, bands * rows)
+    discard(many, keys, found, members, centers, tried, links, placed, mixed, open_)
 
     # the second set of components is over whole ones of the first
     def root_of(links: DataFrame, c: str) -> DataFrame:
@@ -236,18 +275,20 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 20, ro
     tops = components(root_of(root_of(more, "a"), "b").select(F.col("a").alias("u"), F.col("b").alias("v")))
     named = signed.select("doc_id", "th").join(roots.select(F.col("u").alias("th"), "root"), "th", "left").select("doc_id", "th", F.coalesce("root", "th").alias("root"))
     named = named.join(tops.select(F.col("u").alias("root"), F.col("root").alias("top")), "root", "left").select("doc_id", "th", F.coalesce("top", "root").alias("class"))
+    # a hot class meets its least row by class and salt, dealt over that many tasks
     first = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "th")
-    least = named.groupBy("class").agg(F.min(first).alias("first"))
-    return named.join(least, "class").select("doc_id", "th", F.col("first.doc_id").alias("class_id"), first.eqNullSafe(F.col("first")).alias("kept"))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("doc_id", "th"), F.lit(64)).cast("int"))
+    by_salt = named.groupBy("class", "salt").agg(F.min(first).alias("first"))
+    least = by_salt.groupBy("class").agg(F.min("first").alias("first"), F.collect_list("salt").alias("salt")).select("class", F.explode("salt").alias("salt"), "first")
+    return named.join(least, ["class", "salt"]).select("doc_id", "th", F.col("first.doc_id").alias("class_id"), first.eqNullSafe(F.col("first")).alias("kept"))
 
 
 def one_of_each(docs: DataFrame, **params) -> DataFrame:
     """`docs` with one row of each class; the rows that go are joined out by id and text hash."""
     marks = written(near_duplicates(docs, **params), "classes")
-    gone = marks.where(~F.col("kept")).select(F.col("doc_id").alias("_id"), F.col("th").alias("_gone")).distinct()
-    names = [F.col(f"`{c}`") for c in docs.columns]
-    hashed = docs.withColumn("_th", text_hash())
-    left = hashed.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gone")), "left_anti")
+    gone = marks.where(~F.col("kept")).select(F.col("doc_id").alias("id_gone"), F.col("th").alias("th_gone")).distinct()
+    hashed = packed(docs, F.col("doc_id").cast("long").alias("id"), text_hash().alias("th"))
+    left = hashed.join(gone, F.col("id").eqNullSafe(F.col("id_gone")) & (F.col("th") == F.col("th_gone")), "left_anti")
     if not marks.where("kept").groupBy("doc_id", "th").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["doc_id", "_th"])
-    return left.select(*names)
+        left = left.dropDuplicates(["id", "th"])
+    return left.select("row.*")
