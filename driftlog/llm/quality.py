@@ -106,7 +106,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 3_000, buckets:
 
 
 class Scorer:
-    def __init__(self, model: dict, limit: int = 400_000):
+    def __init__(self, model: dict, limit: int = 100_000):
         import numpy as np
 
         weights, buckets = np.frombuffer(model["weights"], "<f4").tolist(), model["buckets"]

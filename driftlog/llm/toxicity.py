@@ -1,17 +1,20 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
 A text is cut into clauses at sentence marks and line ends. Each word gets a class: insult, threat, target, negation,
-reporting or other. Three transducers are composed into one machine over classes: a negation transducer (an insult or threat
-within three words after a negation is softened), a reported-speech transducer (after a reporting word, to the end of the
-clause, it is quoted) and a scoring transducer (an insult or threat with a target before it in the clause counts more). The
-machine's weight for a clause is the largest along its path; words are never scored outside a clause.
-
-The lexicon has fixed English words and what labelled rows teach: words, and word stems of five characters, that toxic
-rows have far more often. Only rows whose crc32(doc_id) mod 4 is not 2 teach, at most `sample_rows` of them.
-
-Null or empty text: the score of a text without matches. Null or unlabelled ids: scored like others. Repeated rows: scored
-alike. Rows labelled more than once count once per label row. No documents or no labels: an empty result, or the fixed
-lexicon alone. Texts are read whole. Other columns are ignored.
+reporting or other. Five transducers are composed into one machine over classes: insult (after an insult a threat counts more),
+threat (one alone counts half, and after one an insult counts more), target (an insult or threat with a target before it in the
+clause counts more), negation (an insult or threat within three words after a negation is softened) and reported speech (after
+a reporting word, to the end of the clause, it is quoted). The machine's weight for a clause is the largest along its path;
+words are never scored outside a clause.
+
+The lexicon has fixed English words and what labelled rows teach: words, and prefixes of words of three characters or more, that
+toxic rows have far more often (a word takes the strongest of its prefixes). Terms of other languages for targets, negation and
+reporting are taken up where labelled rows show it: where insults and threats that stand behind them are more, or less, often in
+toxic rows than others. Only rows whose crc32(doc_id) mod 4 is not 2 teach, at most `sample_rows` of them.
+
+Null or empty text: the score of a text without matches. Null or unlabelled ids: scored like others. Labels other than 0 and 1
+teach nothing. Repeated rows: scored alike. Rows labelled more than once count once per label row. No documents or no labels: an
+empty result, or the fixed lexicon alone. Texts are read whole. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,7 +39,16 @@ TARGETS = "you your you're youre u he she they them him her his their these thos
 NEGATIONS = "not never no isn't aren't wasn't don't doesn't nobody without hardly"
 REPORTS = "said says quoted quote wrote called reported claims claimed according allegedly"
 
+# Terms of German, French and Spanish that labels may show to be targets, negations or reporting words.
+ELSEWHERE = {
+    TARGET: "du dich dir dein deine ihr euch euer sie tu toi te ton ta tes vous vos votre tú ti tu tus usted ustedes vosotros él ella ellos",
+    NEGATION: "nicht kein keine keinen nie niemals ohne ne pas jamais aucun aucune sans no nunca jamás ningún ninguna sin",
+    REPORT: "sagte sagt schrieb nannte laut angeblich dit disait selon appelé prétend dijo dice escribió llamó según",
+}
+STEM = 3
+
 _CLAUSE = re.compile(r"[.!?;\n]+")
+_ELSEWHERE = {kind: frozenset(terms.split()) for kind, terms in ELSEWHERE.items()}
 _EDGE = "\"'`,:()[]{}*%&$#|<>-_"
 _FIXED_WEIGHT = 4.0
 
@@ -67,37 +79,70 @@ class Transducer:
         return Transducer(self.states * other.states, self.symbols, step)
 
 
-def grammar() -> Transducer:
-    """Negation, then reported speech, then target; the factor of a step multiplies the weight of its word."""
+def machines() -> list[Transducer]:
+    """The five machines; classes pass through each, and the factor of a step multiplies the weight of its word."""
     hit = (INSULT, THREAT)
+
+    def after(kind: int, factors: dict, before: dict | None = None) -> Transducer:
+        """Once `kind` has been seen, words of a class take its factor of `factors`, until then that of `before`."""
+        return Transducer(2, 6, lambda s, a: (1 if a == kind else s, a, (factors if s else before or {}).get(a, 1.0)))
+
+    insult = after(INSULT, {THREAT: 1.5})
+    threat = after(THREAT, {INSULT: 1.25, THREAT: 0.5}, {THREAT: 0.5})
+    target = after(TARGET, {INSULT: 1.25, THREAT: 6.0})
+    report = after(REPORT, dict.fromkeys(hit, 0.6))
     negation = Transducer(4, 6, lambda s, a: (3, a, 1.0) if a == NEGATION else (max(0, s - 1), a, 0.4 if s and a in hit else 1.0))
-    report = Transducer(2, 6, lambda s, a: (1, a, 1.0) if a == REPORT else (s, a, 0.6 if s and a in hit else 1.0))
-    target = Transducer(2, 6, lambda s, a: (1, a, 1.0) if a == TARGET else (s, a, ({INSULT: 1.25, THREAT: 3.0}[a] if s else {INSULT: 1.0, THREAT: 0.5}[a]) if a in hit else 0.0))
-    return negation.compose(report).compose(target)
+    return [insult, threat, target, negation, report]
+
+
+def grammar() -> Transducer:
+    """The composition of the machines."""
+    whole, *rest = machines()
+    for other in rest:
+        whole = whole.compose(other)
+    return whole
 
 
 class Scorer:
-    """Matches of a text: the largest clause weight and the sum of the clause weights."""
+    """Matches of a text: the largest clause weight, the sum of the clause weights, and that sum for each 100 words."""
 
-    def __init__(self, words: dict[str, tuple[int, float]], stems: dict[str, float], limit: int = 400_000):
+    def __init__(self, words: dict[str, tuple[int, float]], stems: dict[str, float], limit: int = 100_000):
         self.words, self.stems, self.table = words, stems, grammar().table
-        scorer = self
+        scorer, firsts = self, {x[:STEM] for x in stems}
 
         class Classes(dict):
             def __missing__(self, word):
                 if len(self) >= limit:
                     self.clear()
                 key = word.strip(_EDGE)
-                found = scorer.words.get(key) or ((INSULT, scorer.stems[key[:5]]) if key[:5] in scorer.stems and len(key) > 4 else None)
+                found = scorer.words.get(key)
+                if not found and key[:STEM] in firsts:
+                    odds = max((scorer.stems[key[:i]] for i in range(STEM, len(key) + 1) if key[:i] in scorer.stems), default=0.0)
+                    found = (INSULT, odds) if odds else None
                 self[word] = found
                 return found
 
         self.classes = Classes()
 
-    def __call__(self, text: str) -> tuple[float, float]:
-        best = total = 0.0
+    def beside(self, text: str) -> set[tuple[int, str]]:
+        """(kind, term) of the terms of other languages with an insult or threat behind them in the clause, a negation within three
+        words, and (OTHER, "") if there is an insult or threat at all."""
+        out = set()
+        for clause in _CLAUSE.split(text.lower()):
+            own = clause.split()
+            hits = [i for i, w in enumerate(own) if (x := self.classes[w]) and x[1]]
+            if hits:
+                out.add((OTHER, ""))
+                keys = [w.strip(_EDGE) for w in own[: hits[-1]]]
+                for kind, terms in _ELSEWHERE.items():
+                    out.update((kind, k) for i, k in enumerate(keys) if k in terms and (kind != NEGATION or any(i < h <= i + 3 for h in hits)))
+        return out
+
+    def __call__(self, text: str) -> tuple[float, float, float]:
+        best, total, n = 0.0, 0.0, 20
         for clause in _CLAUSE.split(text.lower()):
             found = list(map(self.classes.__getitem__, clause.split()))
+            n += len(found)
             if not any(x and x[1] for x in found):
                 continue
             state, most = 0, 0.0
@@ -106,7 +151,7 @@ class Scorer:
                 state, _, factor = self.table[state, kind]
                 most = max(most, weight * factor)
             best, total = max(best, most), total + most
-        return best, total
+        return best, total, 100 * total / n
 
 
 def _shown(row: tuple[str, int, int], toxic: int, clean: int, m: int) -> float | None:
@@ -122,6 +167,25 @@ def _shown(row: tuple[str, int, int], toxic: int, clean: int, m: int) -> float |
     return odds if g > 2 * math.log(m / 0.2) and odds > 3.0 else None
 
 
+def _beside(found: dict, words: dict) -> dict:
+    """The terms of other languages that labels show, of counts (toxic, clean) of the rows where an insult or threat stands behind
+    them; the counts of all rows with one stand under (OTHER, "")."""
+    toxic, clean = found.get((OTHER, ""), (0, 0))
+    out = {}
+    if not toxic or not clean:
+        return out
+    share = toxic / (toxic + clean)
+    for (kind, word), (t, c) in found.items():
+        if kind == OTHER or word in words:
+            continue
+        p = t / (t + c)
+        g = 2 * ((t * math.log(p / share) if t else 0.0) + (c * math.log((1 - p) / (1 - share)) if c else 0.0))
+        odds = math.log((t + 0.5) / (c + 0.5)) - math.log(toxic / clean)
+        if g > 2 * math.log(len(found) / 0.05) and (odds > 1.5 if kind == TARGET else odds < -1.5):
+            out[word] = (kind, 0.0)
+    return out
+
+
 def _may_show(toxic: int, clean: int, m: int):
     """The test of _shown as a condition over t and c, with a little room for rounding."""
     share, t, c = toxic / (toxic + clean), F.col("t"), F.col("c")
@@ -137,7 +201,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> dict
 
     Counts by word are added up on the executors; words and stems that pass the test reach the driver, and two numbers a row.
     """
-    marks = labels.where("toxic is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
+    marks = labels.where(F.col("toxic").cast("int").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     teach = marks.where(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) != 2).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
     rows = texts(docs).join(F.broadcast(teach), "doc_id").dropDuplicates(["text", "toxic"])
 
@@ -151,7 +215,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> dict
         for batch in batches:
             for _, text, toxic in rows_of(batch):
                 own = {w.strip(_EDGE) for w in _CLAUSE.sub(" ", text.lower()).split()} - {""}
-                seen[toxic].update({w for w in own if len(w) <= 40} | {f"{w[:5]}\x00" for w in own if len(w) > 4} | {"\x00"})
+                seen[toxic].update(own | {f"{w[:i]}\x00" for w in own for i in range(STEM, len(w) + 1)} | {"\x00"})
             if len(seen[0]) + len(seen[1]) > 500_000:
                 yield out()
                 seen = (Counter(), Counter())
@@ -177,36 +241,50 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> dict
     finally:
         sums.unpersist()
 
+    def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        score, seen = Scorer(words, stems), (Counter(), Counter())
+        for batch in batches:
+            for _, text, toxic in rows_of(batch):
+                seen[toxic].update(score.beside(text))
+        keys = list(seen[0].keys() | seen[1].keys())
+        yield pa.record_batch([pa.array([k for k, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["kind", "word", "t", "c"])
+
+    found = rows.select("doc_id", "text", "toxic").mapInArrow(beside, "kind int, word string, t long, c long").groupBy("kind", "word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
+    words |= _beside({(r["kind"], r["word"]): (r["t"], r["c"]) for r in found}, words)
+
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(words, stems)
         for batch in batches:
             out = [(*score(text), toxic) for _, text, toxic in rows_of(batch)]
             if out:
-                yield pa.record_batch([pa.array(c, pa.float64()) for c in zip(*out)], names=["best", "total", "toxic"])
+                yield pa.record_batch([pa.array(c, pa.float64()) for c in zip(*out)], names=["best", "total", "rate", "toxic"])
 
-    grid = rows.select("doc_id", "text", "toxic").mapInArrow(features, "best double, total double, toxic double").collect()
+    grid = rows.select("doc_id", "text", "toxic").mapInArrow(features, "best double, total double, rate double, toxic double").collect()
     return {"words": words, "stems": stems, "map": _fit([tuple(r) for r in grid])}
 
 
-def _fit(rows: list[tuple[float, float, float]]) -> tuple[float, float, float]:
-    """Logistic regression on the largest clause weight and the log of the total, by Newton's steps with a weak pull to a prior map."""
+def _inputs(best: float, total: float, rate: float) -> tuple[float, ...]:
+    return 1.0, best, math.log1p(total), math.log1p(rate)
+
+
+def _fit(rows: list[tuple[float, ...]]) -> tuple[float, ...]:
+    """Logistic regression on the inputs of matches, by Newton's steps with a weak pull to a prior map."""
     import numpy as np
 
-    prior = np.array([-4.0, 1.0, 0.3])
+    prior = np.array([-4.0, 1.0, 0.3, 0.0])
     w = prior.copy()
     if rows:
-        data = np.array(rows)
-        x, y = np.stack([np.ones(len(data)), np.minimum(data[:, 0], 8), np.log1p(data[:, 1])], 1), data[:, 2]
+        x, y = np.array([_inputs(*r[:3]) for r in rows]), np.array([r[3] for r in rows])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-            h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(3)
+            h = (x * (p * (1 - p))[:, None]).T @ x + 0.5 * np.eye(len(prior))
             step = np.linalg.solve(h, x.T @ (p - y) + 0.5 * (w - prior))
             w = w - step / max(1.0, float(np.abs(step).max()))
     return tuple(float(v) for v in w)
 
 
-def probability(match: tuple[float, float], weights: tuple[float, float, float]) -> float:
-    z = weights[0] + weights[1] * min(match[0], 8) + weights[2] * math.log1p(match[1])
+def probability(match: tuple[float, float, float], weights: tuple[float, ...]) -> float:
+    z = sum(w * x for w, x in zip(weights, _inputs(*match)))
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 

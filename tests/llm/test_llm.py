@@ -290,42 +290,98 @@ def test_rare_toxic_word_is_learned(spark):
 
 
 def test_decontamination(spark, docs, rows, none):
-    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame([(900, "zero one two"), (901, ""), (902, None)], "item_id long, text string"))
+    """Every window of every document against every item, with similarity and start; rearranged, gapped and cut items too."""
+    word = lambda name, n: [f"{name}{i}" for i in range(n)]
+    x, y, z = word("x", 60), word("y", 60), word("z", 70)
+    more = [(900, "zero one two"), (901, ""), (902, None), (903, " ".join(x + y)), (904, " ".join(z)), (905, "one two one two one two one two one two one two"), (906, " ".join(word("v", 13)))]
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet").select("item_id", "text").union(spark.createDataFrame(more, "item_id long, text string"))
+    planted = {
+        7_000: word("a", 30) + y + x + word("b", 30),  # rearranged
+        7_001: x[:40] + word("c", 2) + x[40:] + y[:30] + word("d", 1) + y[30:],  # gapped
+        7_002: x[4:] + y[:-4],  # cut at both ends, shorter than the item
+        7_003: word("e", 9) + z[:3] + ["other"] + z[4:65] + ["two", "more"] + z[65:] + word("f", 9),
+        7_004: z[:35] + word("g", 20) + z[35:],  # too far apart
+        7_005: word("h", 4) + z[:-6],  # at the end of the document
+        7_006: "two one two one two one two one two one two one two".split(),
+        7_007: z + word("i", 5) + z,  # two places alike
+        7_008: word("v", 11) + word("j", 2) + word("v", 12),
+    }
+    plan = [(i, " ".join(w)) for i, w in planted.items()]
+    names = docs.columns
+    docs = docs.unionByName(spark.createDataFrame(plan, "doc_id long, text string"), allowMissingColumns=True)
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", t.lower())
-    of = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+    of = lambda w, k: [tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))]
     items = {r.item_id: cut(r.text or "") for r in bench.collect()}
-    want = set()
-    for i, t in set(rows):
+    want = {}
+    for i, t in {*rows, *plan}:
         w = cut(t)
         for item, own in items.items():
             k = min(5, len(own))
             if not k or not set(of(own, k)) & set(of(w, k)):
                 continue
-            x = of(own, k)
+            a = Counter(of(own, k))
             for at in range(max(1, len(w) - len(own) + 1)):
-                y = of(w[at : at + len(own)], k)
-                both = (x & y).total()
-                if both >= 0.8 * (x.total() + y.total() - both):
-                    want.add((i, item))
-                    break
-    got = {(r.doc_id, r.item_id) for r in decontamination.contaminated(docs, bench).collect()}
-    assert got == want and (-3, 900) in got
+                b = Counter(of(w[at : at + len(own)], k))
+                both = (a & b).total()
+                alike = both / (a.total() + b.total() - both)
+                if alike >= 0.8 and alike > want.get((i, item), (0,))[0]:
+                    want[i, item] = alike, at
+    got = {(r.doc_id, r.item_id): (r.similarity, r.start) for r in decontamination.contaminated(docs, bench).collect()}
+    assert {p: (round(s, 9), at) for p, (s, at) in got.items()} == {p: (round(s, 9), at) for p, (s, at) in want.items()}
+    assert {(-3, 900), (7_000, 903), (7_002, 903), (7_005, 904), (7_006, 905), (7_007, 904)} <= set(got) and (7_004, 904) not in got
     clean = decontamination.clean(docs, bench)
     gone = {i for i, _ in want}
-    assert {r.doc_id for r in clean.collect()} == {i for i, _ in rows} - gone and clean.columns == docs.columns
+    assert {r.doc_id for r in clean.collect()} == {i for i, _ in {*rows, *plan}} - gone and clean.columns == names
     assert decontamination.contaminated(none, bench).count() == 0 and decontamination.contaminated(docs, bench.where("false")).count() == 0
 
 
-def test_licenses(docs, rows, none):
+def plain_scan(text: str) -> tuple:
+    """(labels, score) by all pairs of places, and words in order by a plain table."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text))
+    labels, score = set(), 0.0
+    for label, phrase in licenses.PHRASES.items():
+        p = phrase.split()
+        if any(w[i : i + len(p)] == p for i in range(len(w))):
+            labels.add(label)
+            score = 1.0
+    at = defaultdict(list)
+    for i in range(len(w) - 2):
+        at[tuple(w[i : i + 3])].append(i)
+    for label, template in licenses.TEMPLATES:
+        t = template.split()
+        diagonals = sorted({i - j for j in range(len(t) - 2) for i in at[tuple(t[j : j + 3])]})
+        groups = [[d] for d in diagonals[:1]]
+        for a, b in zip(diagonals, diagonals[1:]):
+            if b - a <= 3:
+                groups[-1].append(b)
+            else:
+                groups.append([b])
+        for g in groups:
+            span = w[max(0, g[0]) : g[-1] + len(t)]
+            table = [[0] * (len(t) + 1) for _ in range(len(span) + 1)]
+            for i, x in enumerate(span):
+                for j, y in enumerate(t):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            share = table[-1][-1] / len(t)
+            score = max(score, share)
+            if share >= 0.7:
+                labels.add(label)
+    return ",".join(sorted(labels)), round(score, 9)
+
+
+def test_licenses(spark, docs, rows, none):
+    notices = ["was Licensed under the very Apache license, version 2.0 ok", "all rights, reserved", "all the rights reserved", "cc by nc " * 9, "under the mit license under the mit license",
+        "redistribution and use in source or binary forms with or without any modification are permitted provided the following conditions are met", "free of charge to any person obtaining a copy of this", "license version 2 0", "the GNU general public"]
+    more = [(8_000 + i, t) for i, t in enumerate(notices)]
+    docs = docs.unionByName(spark.createDataFrame(more, "doc_id long, text string"), allowMissingColumns=True)
     want = Counter()
-    for i, t in rows:
+    for i, t in [*rows, *more]:
         w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
         places = [(k, label) for label, p in licenses.PHRASES.items() for k in range(len(w)) if w[k : k + len(p.split())] == p.split()]
         at = [k for k, _ in places]
-        want[i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places}))] += 1
-    got = licenses.scan(docs)
-    assert multiset(got, ("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")) == want
-    assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) for r in got.collect())
+        want[i, len(w), len(at), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in places})), *plain_scan(t)] += 1
+    got = Counter((r.doc_id, r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, round(r.score, 9)) for r in licenses.scan(docs).collect())
+    assert got == want
     assert licenses.scan(none).count() == 0
 
 
@@ -371,6 +427,33 @@ def test_classifiers(spark, labels, none, docs):
         assert len(odd) == docs.count() and all(0 <= r.score <= 1 for r in odd) and made(none, labels).count() == 0
 
 
+def test_composed_machine_equals_its_parts():
+    """The composed machine against the five machines run one after another, on random clauses."""
+    rng, whole, parts = np.random.default_rng(11), toxicity.grammar(), toxicity.machines()
+    assert len(parts) == 5
+    for _ in range(300):
+        state, states = 0, [0] * 5
+        for symbol in rng.integers(0, 6, rng.integers(1, 15)).tolist():
+            state, out, factor = whole.table[state, symbol]
+            want, x = 1.0, symbol
+            for k, machine in enumerate(parts):
+                states[k], x, f = machine.table[states[k], x]
+                want *= f
+            assert out == x and factor == pytest.approx(want)
+
+
+def test_terms_beside_insults_are_learned(spark):
+    """Where clean rows have the insult behind a negation, the negation of that language softens it; labels other than 0 and 1 teach
+    nothing, and long words teach."""
+    long = "z" * 45
+    ids = [i for i in range(6_000) if crc(i, 4) != 2][:4_000]
+    rows = [(i, f"un {'jamais ' if k % 40 == 0 else ''}zorblat {'' if k % 40 == 0 else long} {i}" if k < 2_000 else f"plain words {i}", (0 if k % 40 == 0 else 1) if k < 2_000 else 0) for k, i in enumerate(ids)]
+    rows.append((next(i for i in range(7_000, 7_100) if crc(i, 4) != 2), "no label of this kind", 7))
+    frame = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.learn(frame.select("doc_id", "text"), frame.select("doc_id", "toxic"))
+    assert model["words"]["jamais"][0] == toxicity.NEGATION and long in model["words"] and "pas" not in model["words"]
+
+
 def test_grammar():
     score = toxicity.Scorer(toxicity.lexicon(), {"lowei": 5.0})
     plain, aimed, negated, quoted = (score(t)[0] for t in ("an idiot", "you idiot", "not an idiot", "she said an idiot"))
@@ -378,6 +461,133 @@ def test_grammar():
     assert quoted < aimed and score("a fine day")[0] == 0 and score("you. an idiot")[0] == plain
 
 
+CLASHES = ["_th", "_id", "_gone", "_key", "cuts", "row", "id", "th", "id_gone", "th_gone", "cut_key", "key", "g", "at", "class", "kept", "salt"]
+
+
+@pytest.fixture(scope="module")
+def staged(spark):
+    """Documents with nulls, repeated rows, near copies, repeated passages and columns that clash, each with a value of its row."""
+    own = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 90").collect()]
+    passage = " ".join(f"shared{i}" for i in range(70))
+    near = [f"n{i}" for i in range(120)]
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy("item_id").first()["text"]
+    odd = [
+        (None, "no id here at all", None, None, None), (None, "no id here at all", None, None, None), (9_000, None, None, None, None), (9_001, "", "en", "s", 0), (9_002, " \n ", "en", "s", 3),
+        (9_003, " ".join([f"a{i}" for i in range(50)]) + f" {passage} two", "en", "s", 1), (9_004, f"three {passage} " + " ".join([f"b{i}" for i in range(50)]), None, "s", 1), (9_005, passage, "en", None, 1), (9_006, " ".join(near), "en", "s", 1), (9_007, " ".join([*near[:60], "changed", *near[61:]]), "en", "s", 1),
+        (9_008, "you idiot are worthless scum and a stupid moron", "en", "s", 1), (9_009, f"before it {item} after it", "en", "s", 1), (9_010, own[3][1], "en", "s", 1), (9_010, own[3][1], "en", "s", 1), (9_011, LONG, "en", "s", 1),
+    ]
+    frame = spark.createDataFrame([*own, *odd], "doc_id long, text string, lang string, source string, n_chars long")
+    for name in CLASHES:
+        frame = frame.withColumn(name, F.concat_ws("/", F.lit(name), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+    return frame.cache()
+
+
+def rest_of(frame) -> set:
+    """All columns of each row but the text and its length."""
+    return {tuple(r) for r in frame.drop("text", "n_chars").collect()}
+
+
+def plain_classes(rows: list) -> list[int]:
+    """For each row (id, text) the place of the first of its near-duplicate class, by all pairs."""
+    parent, bags = list(range(len(rows))), [bag(t or "") for _, t in rows]
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(rows)):
+        for b in range(a):
+            both = sum((bags[a] & bags[b]).values())
+            if (rows[a][1] or "") == (rows[b][1] or "") or both and both >= 0.8 * (bags[a].total() + bags[b].total() - both):
+                parent[root(a)] = root(b)
+    return [root(k) for k in range(len(rows))]
+
+
+def test_stages_by_plain_versions(spark, staged, labels, tmp_path):
+    """Each stage on what its predecessor kept, against a plain version; all other columns keep their values."""
+    stages, docs = dict(corpus_pipeline.STAGES), staged
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+
+    def rows(frame):
+        return sorted(((r.doc_id, r.text) for r in frame.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+
+    def step(name):
+        out = corpus_pipeline.written(stages[name](spark, docs, SF), name)
+        assert out.columns == docs.columns and rest_of(out) <= rest_of(docs)
+        return out
+
+    model = toxicity.learn(staged, labels)
+    match = toxicity.Scorer(model["words"], model["stems"])
+    clean = step("toxicity")
+    assert rows(clean) == [r for r in rows(docs) if toxicity.probability(match(r[1] or ""), model["map"]) < 0.3] and 9_008 not in {i for i, _ in rows(clean)}
+
+    docs = clean
+    one = step("near_dedup")
+    before = rows(docs)
+    classes = plain_classes(before)
+    least = {}
+    for k, (r, c) in enumerate(zip(before, classes)):
+        if c not in least or (r[0] is None, r[0] or 0) < (before[least[c]][0] is None, before[least[c]][0] or 0):
+            least[c] = k
+    assert Counter(i for i, _ in rows(one)) == Counter(before[k][0] for k in least.values())
+    assert 9_006 in {i for i, _ in rows(one)} and 9_007 not in {i for i, _ in rows(one)}
+
+    docs = one
+    cut = step("suffix_dedup")
+    first, gone = {}, defaultdict(set)
+    for i, t in rows(docs):
+        w = (t or "").split()
+        for k in range(len(w) - 49):
+            if first.setdefault(tuple(w[k : k + 50]), i) != i:
+                gone[i].update(range(k, k + 50))
+    want = {i: [x for k, x in enumerate((t or "").split()) if k not in gone[i]] for i, t in rows(docs)}
+    assert {i: (t or "").split() for i, t in rows(cut)} == {i: w for i, w in want.items() if w or not gone[i]} and gone[9_004] and 9_005 not in {i for i, _ in rows(cut)}
+    assert all(r.n_chars == len(r.text) for r in cut.where("text is not null").collect())
+
+    docs = cut
+    left = step("decontamination")
+    words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", (t or "").lower())
+    of = lambda w, k: Counter(tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1)))
+    hit = set()
+    items = [x for r in bench.collect() if (x := words(r.text))]
+    for i, t in rows(docs):
+        w = words(t)
+        for x in items:
+            k = min(5, len(x))
+            if w and set(of(x, k)) & set(of(w, k)):
+                for at in range(max(1, len(w) - len(x) + 1)):
+                    a, b = of(x, k), of(w[at : at + len(x)], k)
+                    both = (a & b).total()
+                    if both >= 0.8 * (a.total() + b.total() - both) - 1e-9:
+                        hit.add(i)
+    assert {i for i, _ in rows(left)} == {i for i, _ in rows(docs)} - hit and 9_009 in hit
+
+    docs = left
+    packed = stages["packing"](spark, docs, SF).collect()
+    cache = WordCache(default_path())
+    want = Counter()
+    for i, t in rows(docs):
+        raw = cache.encode(t or "") + (1).to_bytes(4, "little")
+        for k, at in enumerate(range(0, len(raw), 4 * 4096)):
+            want[i, k, at // 4, len(raw[at : at + 4 * 4096]) // 4, zlib.crc32(raw[at : at + 4 * 4096])] += 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == want
+
+
+def test_stages_without_rows(spark, staged, tmp_path):
+    """No documents: no rows and the same columns; no labels and no benchmark: the stages run."""
+    none = staged.where("false")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, none, SF)
+        assert out.columns == none.columns and out.count() == 0
+    assert packing.pack(none).count() == 0
+    spark.read.parquet(f"{SF}/labels.parquet").where("false").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.read.parquet(f"{SF}/benchmark.parquet").where("false").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages = dict(corpus_pipeline.STAGES)
+    assert stages["decontamination"](spark, staged, str(tmp_path)).count() == staged.count()
+    assert stages["toxicity"](spark, staged, str(tmp_path)).count() > 0
+
+
 def test_pipeline(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "near_dedup", "suffix_dedup", "decontamination", "packing"]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
