@@ -1,15 +1,19 @@
 """Benchmark decontamination in DataFrame functions only: SimHash of item-sized windows, Hamming blocks, exact check.
 
-A benchmark item of m words is compared with windows of m words of each document. Only windows that share a shingle with some
-item at its place there are formed. A window of n shingles with similarity 0.8 lacks at most n / 9 of them, so every fourth
-shingle of a document is enough to find it where the item has four or more; all are taken for shorter items. Windows and items get 64-bit SimHash fingerprints of their word shingles, each as often as it occurs. A fingerprint has
-eight blocks of eight bits; within `radius` 23 some block differs in at most two bits, so a join of the windows' blocks with
-the items' blocks in all 37 spellings finds every pair within the radius. Shingle multisets then decide: weighted Jaccard of
-`threshold` or more.
-
-Words are runs of ASCII letters, digits and characters beyond ASCII, lower-cased. Shingles have five words; an item of fewer words is one shingle. Items
-without words match nothing. Null texts: as empty. Null ids stay null. Repeated documents: a row for each distinct text of an
-id. Documents shorter than an item: the whole document is the window. Empty tables: an empty result. Other columns are ignored.
+A benchmark item of m words is compared with all windows of m words of each document. Windows and items get 64-bit SimHash
+fingerprints of their word shingles, each as often as it occurs. A fingerprint has eight blocks of eight bits; within `radius`
+23 some block differs in at most two bits, so a join of the windows' blocks with the items' blocks in all 37 spellings finds
+every pair within the radius. Shingle multisets then decide: weighted Jaccard of `threshold` or more.
+
+Fingerprints are worked out for the windows that can reach the threshold only, which loses none: a window of similarity t with
+an item of n shingles has at least t * n places whose shingle the item has, wherever in the item it stands. All shingles of the
+documents are joined with those of the items, and the starts of all windows with so many hits follow from the hits' places, so
+items that are rearranged, cut or stretched are met like others.
+
+Words are runs of ASCII letters, digits and characters beyond ASCII, lower-cased. Shingles have five words; an item of fewer
+words is one shingle. Items without words match nothing. Null texts: as empty. Null ids stay null. Repeated documents: a row
+for each distinct text of an id. Documents shorter than an item: the whole document is the window. Empty tables: an empty
+result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import small, texts, written
+from .common import packed, small, texts, written
 
 _SIZE = 5
 
@@ -33,8 +37,8 @@ def let(value: Column, use) -> Column:
     return F.element_at(F.transform(F.array(value), use), 1)
 
 
-def shingles(h: Column, size: int, step: int = 1) -> Column:
-    """Hashes of every `step`-th run of `size` word hashes; of all words where there are fewer, if any. `h` is bound by let()."""
+def shingles(h: Column, size: int) -> Column:
+    """Hashes of the runs of `size` word hashes; of all words where there are fewer, if any. `h` is bound by let()."""
     n = F.size(h)
 
     def roll(i: Column) -> Column:
@@ -43,7 +47,7 @@ def shingles(h: Column, size: int, step: int = 1) -> Column:
             out = F.xxhash64(out, F.element_at(h, i + j))
         return out
 
-    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1), F.lit(step)), roll)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
+    return F.when(n >= size, F.transform(F.sequence(F.lit(1), n - (size - 1)), roll)).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
 
 def shingles_of(h: Column, k: Column) -> Column:
@@ -97,18 +101,24 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
     Of windows alike the first counts.
 
     The documents are read twice: for the places of item shingles (joined with the benchmark's shingles; Spark broadcasts
-    them if they are small and else shuffles) and, for the documents with such places, for the windows' shingles. The window
-    table is written; it is broadcast only if its files have at most `small_mb` MB, else the join shuffles.
+    them if they are small and else shuffles) and, for the documents with enough of them, for the windows' shingles. The window
+    table is written; it is broadcast only if it has at most `small_mb` MB, else the join shuffles.
     """
-    bench = written(items(benchmark), "items")
+    bench = written(items(benchmark), "items").withColumn("need", F.ceil(F.size("s") * threshold - 1e-9).cast("int"))
     words_of = F.transform(words("text"), lambda w: F.xxhash64(w))
     keyed = texts(docs).select("doc_id", F.xxhash64("text").alias("th"), "text")
     found = None
-    bench = bench.withColumn("step", F.when((F.size("s") >= 4) & F.lit(threshold >= 0.8), 4).otherwise(1))
-    for k, step in sorted((r["k"], r["step"]) for r in bench.select("k", "step").distinct().collect()):
-        seeds = bench.where((F.col("k") == k) & (F.col("step") == step)).select("m", F.posexplode("s").alias("at", "g")).distinct()
-        grams = keyed.select("doc_id", "th", F.posexplode(let(words_of, lambda h: shingles(h, k, step))).alias("pos", "g"))
-        hits = grams.join(seeds, "g").select("doc_id", "th", F.lit(k).alias("k"), "m", F.greatest(F.lit(0), F.col("pos") * step - F.col("at")).alias("start"))
+    for k in sorted(r["k"] for r in bench.select("k").distinct().collect()):  # five sizes of shingles at most
+        seeds = bench.where(F.col("k") == k).select("item_id", "m", F.size("s").alias("n"), "need", F.explode(F.array_distinct("s")).alias("g"))
+        grams = keyed.select("doc_id", "th", F.posexplode(let(words_of, lambda h: shingles(h, k))).alias("pos", "g"))
+        hits = grams.join(seeds, "g").groupBy("doc_id", "th", "item_id", "m", "n", "need").agg(F.array_sort(F.collect_set("pos")).alias("p")).where(F.size("p") >= F.col("need"))
+
+        def starts(j: Column) -> Column:
+            first, last = F.element_at("p", j), F.element_at("p", j + F.col("need") - 1)
+            return F.when(last - first < F.col("n"), F.sequence(F.greatest(F.lit(0), last - F.col("n") + 1), first)).otherwise(F.array().cast("array<int>"))
+
+        at = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.size("p") - F.col("need") + 1), starts)))
+        hits = hits.select("doc_id", "th", F.lit(k).alias("k"), "m", F.explode(at).alias("start"))
         found = hits if found is None else found.union(hits)
     if found is None:
         found = docs.sparkSession.createDataFrame([], "doc_id long, th long, k int, m int, start int")
@@ -138,8 +148,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = 0.8,
 
 def clean(docs: DataFrame, benchmark: DataFrame, **params) -> DataFrame:
     """`docs` without the documents that hold an item; the rows that go are broadcast if they are few."""
-    found = written(contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("_id"), F.col("th").alias("_gone")).distinct(), "contaminated")
+    found = written(contaminated(docs, benchmark, **params).select(F.col("doc_id").alias("id_gone"), F.col("th").alias("th_gone")).distinct(), "contaminated")
     side = F.broadcast(found) if small(found, 32) else found
-    hashed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    left = hashed.join(side, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_gone")), "left_anti")
-    return left.select(*[F.col(f"`{c}`") for c in docs.columns])
+    hashed = packed(docs, F.col("doc_id").cast("long").alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"))
+    left = hashed.join(side, F.col("id").eqNullSafe(F.col("id_gone")) & (F.col("th") == F.col("th_gone")), "left_anti")
+    return left.select("row.*")
