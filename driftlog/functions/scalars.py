@@ -72,3 +72,13 @@ def value_error(v: Column, most: int = 1 << 20) -> Column:
 def write_error(t: Column, k: Column, v: Column) -> Column:
     """The first error of tenant, key and value; null if valid."""
     return F.coalesce(tenant_error(t), key_error(k), value_error(v))
+
+
+def generated_key(tenant: Column, key: Column, nanos: Column, salt: Column) -> Column:
+    """An idempotency key of 64 hex digits for a request that brings none, of its time and a salt."""
+    return F.sha2(F.concat_ws(":", tenant, key, nanos.cast("string"), salt), 256)
+
+
+def day(seconds: Column) -> Column:
+    """The UTC date of a time in seconds, as text."""
+    return F.date_format(F.date_add(F.lit("1970-01-01").cast("date"), F.floor(seconds / 86_400).cast("int")), "yyyy-MM-dd")

@@ -92,3 +92,15 @@ def moved(new: DataFrame, old: DataFrame) -> DataFrame:
     """The ranges (lo, hi] of virtual nodes that `old` lacks, with the node that owned them there."""
     added = intervals(new).join(old.select("vnode_id"), "vnode_id", "left_anti").select(F.col("vnode_id").alias("vnode"), F.col("node_id").alias("to_node"), "prev", "hash")
     return owners(added, old).select("vnode", "to_node", F.col("node_id").alias("from_node"), F.col("prev").alias("lo"), F.col("hash").alias("hi"))
+
+
+def moves(keys: DataFrame, new: DataFrame, old: DataFrame) -> DataFrame:
+    """`keys` (with hash) whose owner changes from one ring to another, with from_node and to_node: what a join or a removal copies."""
+    after = owners(keys, new).withColumnRenamed("node_id", "to_node").drop("vnode_id")
+    return owners(after, old).withColumnRenamed("node_id", "from_node").drop("vnode_id").where("from_node != to_node")
+
+
+def authoritative(replicas_: DataFrame, nodes: DataFrame) -> DataFrame:
+    """`replicas_` (with replica) and whether each counts for a quorum's size: nodes in state NORMAL do."""
+    counts = nodes.select(F.col("node_id").alias("replica"), (F.col("state") == "NORMAL").alias("counts"))
+    return replicas_.join(counts, "replica", "left").withColumn("counts", F.coalesce("counts", F.lit(False)))

@@ -44,3 +44,18 @@ def range_estimates(ranges: DataFrame, keys: DataFrame) -> DataFrame:
     """Keys that each range (lo, hi) of the ring may have, by its share of all keys."""
     total = keys.agg(F.count("*").alias("total"))
     return ranges.join(F.broadcast(total)).select("range_id", F.floor(F.col("total") * range_share(F.col("lo"), F.col("hi"))).cast("long").alias("keys"))
+
+
+def append(log: DataFrame, writes: DataFrame, order: str, ties: tuple[str, ...] = ()) -> DataFrame:
+    """`writes` with the sequence numbers (seq) that follow the log's last one, in the order of `order` and `ties`."""
+    last = log.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("last"))
+    return running(writes, order, ties, name="place").join(F.broadcast(last)).withColumn("seq", F.col("last") + 1 + F.col("place")).drop("last", "place")
+
+
+def digests(rows: DataFrame, by: list[str], content: Column) -> DataFrame:
+    """A digest of the rows of each group that their order does not change: their number and the sum of 32 bits of each row's MD5.
+
+    Sums are made before the shuffle, so a group of any size is a row a task.
+    """
+    part = F.conv(F.substring(F.md5(content.cast("binary")), 1, 8), 16, 10).cast("long")
+    return rows.groupBy(*by).agg(F.count("*").alias("n"), F.sum(part).alias("digest"))

@@ -30,12 +30,14 @@ def clock_of(*coords: str):
 
 def frontier(state: DataFrame) -> DataFrame:
     """The version of each key that no other is after, by time and seq if there are several; the number of distinct maximal
-    clocks. Replicas of a key are few, so they meet in one row and are compared there."""
-    rest = [c for c in state.columns if c not in KEY]
-    met = state.groupBy(*KEY).agg(F.collect_list(F.struct(*rest)).alias("all"))
-    top = F.filter("all", lambda x: ~F.exists("all", lambda y: clocks.compare(y["vc"], x["vc"]) == "After"))
-    best = met.withColumn("top", top).withColumn("winner", F.array_max(F.transform("top", lambda x: F.struct(x["ts"], x["seq"], x["node_id"], clocks.shown(x["vc"]).alias("clock"), x["value"], x["is_tombstone"]))))
-    return best.select(*KEY, F.size(F.array_distinct(F.transform("top", lambda x: clocks.shown(x["vc"])))).cast("long").alias("n_maximal"), F.size("all").cast("long").alias("n_replicas"), "winner.*")
+    clocks, and of replicas. Rows of equal clocks count once before they meet, so a key has a row for each clock."""
+    row = F.struct("ts", "seq", "node_id", "clock", "value", "is_tombstone", F.map_entries("vc").alias("entries"))
+    one = state.withColumn("clock", clocks.shown(F.col("vc"))).groupBy(*KEY, "clock").agg(F.max_by(row, F.struct("ts", "seq", "node_id")).alias("v"), F.count("*").alias("n"))
+    met = one.groupBy(*KEY).agg(F.collect_list("v").alias("all"), F.sum("n").alias("n_replicas"))
+    clock = lambda x: F.map_from_entries(x["entries"])
+    top = F.filter("all", lambda x: ~F.exists("all", lambda y: clocks.compare(clock(y), clock(x)) == "After"))
+    best = met.select(*KEY, "n_replicas", top.alias("top"))
+    return best.select(*KEY, F.size("top").cast("long").alias("n_maximal"), "n_replicas", F.array_max("top").dropFields("entries").alias("winner")).select(*KEY, "n_maximal", "n_replicas", "winner.*")
 
 
 def fold(state: DataFrame, arrival: str) -> DataFrame:
@@ -78,6 +80,12 @@ def merge(files: DataFrame, whole: bool = True) -> DataFrame:
     return out.where("not is_tombstone") if whole else out
 
 
+def merged_clocks(rows: DataFrame) -> DataFrame:
+    """The clock of each key that has the highest count of every coordinator; counts are merged before the shuffle."""
+    each = rows.select(*KEY, F.explode("vc").alias("coord", "n")).groupBy(*KEY, "coord").agg(F.max("n").alias("n"))
+    return each.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("coord", "n"))).alias("vc"))
+
+
 def due(levels: DataFrame, most: int = 100) -> DataFrame:
     """The levels (level, files, bytes) that a round of compaction takes, lowest first, `most` at a time: four files in level 0, or
     more bytes than the level may have."""

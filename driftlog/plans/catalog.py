@@ -69,7 +69,6 @@ SQL: dict[str, str] = {
     "meta_point_get": "select tenant_id, replication_factor, version from tenants where tenant_id = 't2'",
     "repair_targets": "select s.tenant_id, s.key, s.node_id from replica_state s join (select tenant_id, key, max_by(node_id, seq * 10 + cast(substr(node_id, 2, 1) as bigint)) winner from replica_state group by tenant_id, key) w on s.tenant_id = w.tenant_id and s.key = w.key where s.node_id != w.winner",
     "clock_max": "select node_id, tenant_id, key, greatest(c0, c1, c2) highest from replica_state",
-    "clock_merge": "select tenant_id, key, concat('c0=', cast(max(c0) as string), ',c1=', cast(max(c1) as string), ',c2=', cast(max(c2) as string)) clock from replica_state group by tenant_id, key",
     "clock_increment": "select seq, coord, count(*) over (partition by tenant_id, key, coord order by seq) tick from kv_log",
     "idempotent_first": "select request_id from (select request_id, row_number() over (partition by tenant_id, key, idempotency_key order by request_id) rn from requests where idempotency_key is not null) x where rn = 1",
 }

@@ -112,6 +112,44 @@ def _sanitized(spark, d):
     return table(spark, d, "keys").select("tenant_id", "key", *[rules.sanitize_tenant(dirty, n).alias(f"cut_{n}") for n in (3, 5, 9, 256)], rules.sanitize_key(dirty, 1024).alias("whole"))
 
 
+def _moving(spark, d, node: str, joins: bool):
+    """Keys copied when a node joins the ring, or leaves it."""
+    whole = _ring(spark, d)
+    less = whole.where(F.col("node_id") != node)
+    found = rings.moves(table(spark, d, "keys"), *((whole, less) if joins else (less, whole)))
+    return found.groupBy("from_node", "to_node").agg(F.count("*").alias("n_keys"))
+
+
+def _moving_sql(node: str, joins: bool) -> str:
+    rest = f"(select * from ring where node_id != '{node}')"
+    owner = lambda ring: f"(select k.tenant_id, k.key, r.node_id from keys k join {ring} r on r.hash = coalesce((select min(q.hash) from {ring} q where q.hash >= k.hash), (select min(q.hash) from {ring} q)))"
+    new, old = (owner("ring"), owner(rest)) if joins else (owner(rest), owner("ring"))
+    return f"select o.node_id from_node, n.node_id to_node, count(*) n_keys from {new} n join {old} o on n.tenant_id = o.tenant_id and n.key = o.key where n.node_id <> o.node_id group by o.node_id, n.node_id"
+
+
+def _point_gets(spark, d):
+    """One row of each metadata table, as text."""
+    gets = [("tenants", "tenant_id", "t2", "replication_factor"), ("nodes", "node_id", "n3", "state"), ("pending", "change_id", "p3", "status"), ("migrations", "migration_id", "m4", "status")]
+    out = None
+    for name, key, value, column in gets:
+        row = metadata.get(table(spark, d, name), key, value).select(F.lit(name).alias("kind"), F.col(key).alias("id"), F.col(column).cast("string").alias("value"))
+        out = row if out is None else out.union(row)
+    return out
+
+
+def _appended(spark, d):
+    new = table(spark, d, "requests").select("tenant_id", "key", "value", "ts", "request_id")
+    return scans.append(table(spark, d, "kv_log"), new, "ts", ("request_id",)).select("request_id", "seq")
+
+
+def _authoritative(spark, d):
+    """Of each key asked for: replicas, those that count, and what a quorum needs of them."""
+    held = rings.authoritative(requests.replicas(table(spark, d, "requests"), table(spark, d, "tenants"), _ring(spark, d)), table(spark, d, "nodes"))
+    return held.groupBy("tenant_id", "key").agg(F.count("*").alias("n_replicas"), F.count_if("counts").alias("n_counting")).withColumn("required", rules.required(F.lit("quorum"), F.col("n_counting")))
+
+
+MD5_PART = " + ".join(f"cast((instr('0123456789abcdef', substr(h, {i}, 1)) - 1) * {16 ** (8 - i)} as bigint)" for i in range(1, 9))
+
 #: name -> (Spark, SQL for DuckDB in Spark's words).
 OPERATORS = {
     # scans and sinks
@@ -198,4 +236,14 @@ OPERATORS = {
         from requests r join tenants t on r.tenant_id = t.tenant_id left join answers a on a.request_id = r.request_id left join carried c on c.request_id = r.request_id left join old o on o.tenant_id = r.tenant_id and o.key = r.key left join took k on k.tenant_id = r.tenant_id and k.key = r.key)
       select request_id, tenant_id, key, level, required, acks, case when answer is not null then 'replayed' when not is_carried then 'repeated' when acks >= required then 'ok' else 'quorum_not_met' end status,
         case when is_carried then concat_ws(',', case when x0 > 0 then concat('c0=', cast(x0 as string)) end, case when x1 > 0 then concat('c1=', cast(x1 as string)) end, case when x2 > 0 then concat('c2=', cast(x2 as string)) end) end clock, answer from q"""),
+    # topology, metadata and numbers
+    "bootstrap_copy": (lambda s, d: _moving(s, d, "n2", True), _moving_sql("n2", True)),
+    "decommission_copy": (lambda s, d: _moving(s, d, "n1", False), _moving_sql("n1", False)),
+    "authoritative_quorum": (_authoritative, f"with held as ({HELD}) select tenant_id, key, count(*) n_replicas, count(case when replica in ('n0', 'n1', 'n2') then 1 end) n_counting, count(case when replica in ('n0', 'n1', 'n2') then 1 end) div 2 + 1 required from held group by tenant_id, key"),
+    "meta_point_gets": (_point_gets, "select 'tenants' kind, tenant_id id, cast(replication_factor as string) value from tenants where tenant_id = 't2' union all select 'nodes', node_id, state from nodes where node_id = 'n3' union all select 'pending', change_id, status from pending where change_id = 'p3' union all select 'migrations', migration_id, status from migrations where migration_id = 'm4'"),
+    "log_append": (_appended, "select request_id, cast(row_number() over (order by ts, request_id) + (select max(seq) from kv_log) as bigint) seq from requests"),
+    "range_digest": (lambda s, d: scans.digests(table(s, d, "replica_state"), ["node_id", "tenant_id"], F.concat("key", F.lit("="), F.col("seq").cast("string"))), f"select node_id, tenant_id, count(*) n, cast(sum({MD5_PART}) as bigint) digest from (select node_id, tenant_id, md5(concat(key, '=', cast(seq as string))) h from replica_state) x group by node_id, tenant_id"),
+    "clock_merge": (lambda s, d: versions.merged_clocks(_state(s, d)).select("tenant_id", "key", clocks.shown(F.col("vc")).alias("clock")), "select tenant_id, key, concat_ws(',', case when max(c0) > 0 then concat('c0=', cast(max(c0) as string)) end, case when max(c1) > 0 then concat('c1=', cast(max(c1) as string)) end, case when max(c2) > 0 then concat('c2=', cast(max(c2) as string)) end) clock from replica_state group by tenant_id, key"),
+    "generated_keys": (lambda s, d: table(s, d, "requests").where("idempotency_key is null").select("request_id", scalars.generated_key(F.col("tenant_id"), F.col("key"), F.col("ts") * 1_000_000_000, F.lit("salt")).alias("made")), "select request_id, sha2(concat(tenant_id, ':', key, ':', cast(ts * 1000000000 as string), ':salt'), 256) made from requests where idempotency_key is null"),
+    "log_days": (lambda s, d: table(s, d, "kv_log").groupBy(scalars.day(F.col("ts")).alias("day")).agg(F.count("*").alias("n"), F.max(F.lit(AS_OF) - F.col("ts")).alias("age_s")), f"select strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') as \"day\", count(*) n, max({AS_OF} - ts) age_s from kv_log group by strftime(make_timestamp(ts * 1000000), '%Y-%m-%d')"),
 }
