@@ -81,12 +81,12 @@ class _Shard:
         return (*self.to, self.first, self.n_docs, self.n_ids)
 
 
-def write_ids(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, seq_len: int = 1024, vocab_size: int = 49408) -> DataFrame:
+def write_ids(docs: DataFrame, root: str, tokenizer: str, end_id: int = 2, seq_len: int = 1024) -> DataFrame:
     """Writes the shards; a row for each: its two files, first doc_id, documents and ids. Run it once: it has side effects.
 
     One range shuffle of the texts puts documents in ascending order; ids are never shuffled.
     """
-    width = 2 if max(vocab_size, end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(cached(tokenizer).size, end_id + 1) <= 1 << 16 else 4
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import numpy as np

@@ -81,7 +81,8 @@ def pack(docs: DataFrame, capacity: int = 4096, end_id: int = 1, tokenizer: str
 
     Texts are tokenized where they are read; only the pieces' numbers (some 30 bytes each) are written and shuffled. Pieces
     are dealt by a hash into groups of about `group_tokens` tokens, packed apart, so each group leaves at most `open_bins`
-    sequences unfilled; memory is that of the open bins.
+    sequences unfilled; memory is that of the open bins. The number of groups grows with the tokens up to `max_groups`; beyond
+    that (1.3e12 tokens) groups grow instead, and only take longer: a group is a stream past the open bins.
     """
     cut = written(pieces(docs, capacity, end_id, tokenizer or default_path()), "pieces")
     total = cut.agg(F.sum("length")).first()[0] or 0

@@ -39,6 +39,7 @@ class WordCache(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.tokenizer, self.limit, self.longest = Tokenizer.from_file(path), limit, longest
         self.model, self.letters, self.older = self.tokenizer.model, _byte_letters(), {}
+        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self[""] = b""
 
     def _ids(self, word: str) -> bytes:

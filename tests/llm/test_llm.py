@@ -102,6 +102,28 @@ def test_bins_close_the_fullest():
     assert [bins.place(x) for x in (6, 7, 5, 4)] == [(0, 0), (1, 0), (2, 0), (0, 6)]
 
 
+def test_bins_equal_plain_best_fit():
+    """The bitset against a list of open bins, on random lengths: the fullest that holds a piece, the last of equals; the fullest
+    closes first."""
+    rng = np.random.default_rng(17)
+    for capacity, most in ((10, 3), (64, 5), (4096, 50)):
+        bins, free, number = packing.Bins(capacity, most), [], 0
+        for length in rng.integers(1, capacity + 1, 2_000).tolist():
+            fits = [x for x in free if x[0] >= length]
+            if fits:
+                least = min(f for f, *_ in fits)
+                best = [x for x in fits if x[0] == least][-1]
+                free.remove(best)
+            else:
+                if len(free) >= most:
+                    fullest = min(f for f, *_ in free)
+                    free.remove([x for x in free if x[0] == fullest][-1])
+                best, number = (capacity, number), number + 1
+            assert bins.place(length) == (best[1], capacity - best[0])
+            if best[0] > length:
+                free.append((best[0] - length, best[1]))
+
+
 def crc(doc_id, m):
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % m
 
@@ -409,6 +431,61 @@ def test_winnowing_by_hand(spark):
             assert all(any(i <= p < i + 8 for p in places) for i in range(n - 3 - 7))
 
 
+def test_fingerprints_by_plain_winnowing(spark, docs, rows):
+    """Chosen places and both likenesses against a plain version that takes the operator's own hash of each k-gram."""
+    shown = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in fingerprints.fingerprint(docs).collect()}
+    order = sorted(rows, key=lambda r: r[1])
+    order.sort(key=lambda r: -(1 << 63) if r[0] is None else r[0], reverse=True)
+    edited = [t[: len(t) - len(t) // 2] + order[(k + 1) % len(order)][1][: len(t) // 2] for k, (_, t) in enumerate(order)]
+    every = sorted({w for t in [*edited, *(t for _, t in rows)] for w in t.split(" ")})
+    frame = spark.createDataFrame([(w,) for w in every], "w string").select("w", F.xxhash64("w").alias("h"))
+    own = {r.w: r.h for r in frame.collect()}
+    pairs = lambda hashes: spark.createDataFrame([(h,) for h in hashes], "h array<long>")
+    texts = sorted({*edited, *(t for _, t in rows)})
+    lists = [[own[w] for w in t.split(" ")] if t else [] for t in texts]
+    two = {x for h in lists for x in zip(h, h[1:])}
+    joined = {(r.a, r.b): r.x for r in spark.createDataFrame(sorted(two), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("x")).collect()}
+    halves = [[joined[x] for x in zip(h, h[1:])] for h in lists]
+    four = {x for h in halves for x in zip(h, h[2:])}
+    joined = {(r.a, r.b): r.x for r in spark.createDataFrame(sorted(four), "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("x")).collect()}
+    few = [h for h in lists if 0 < len(h) < 4]
+    short = {tuple(r.h): r.x for r in pairs(few).select("h", F.xxhash64("h").alias("x")).collect()} if few else {}
+    chosen = {}
+    for t, h, half in zip(texts, lists, halves):
+        grams = [joined[x] for x in zip(half, half[2:])] if len(h) >= 4 else [short[tuple(h)]] if h else []
+        heads = [(x & ((1 << 64) - 1)) >> 29 for x in grams]
+        places = []
+        for i in range(max(1, len(heads) - 7) if heads else 0):
+            part = heads[i : i + 8]
+            at = i + max(j for j, x in enumerate(part) if x == min(part))
+            if at not in places:
+                places.append(at)
+        chosen[t] = [(heads[p], p) for p in places]
+    text_of = lambda c: " ".join(f"{h:X}@{p}" for h, p in c)
+
+    def like(a, b):
+        x, y = {h for h, _ in chosen[a]}, {h for h, _ in chosen[b]}
+        return len(x & y) / len(x | y) if x | y else 1.0
+
+    for k, ((i, t), e) in enumerate(zip(order, edited)):
+        r = shown[i, len(t), hashlib.sha256(e.encode()).hexdigest()]
+        assert r.fingerprint == text_of(chosen[t]) and r.edited_fingerprint == text_of(chosen[e])
+        assert r.near_edited == pytest.approx(like(t, e)) and r.near_next == pytest.approx(like(t, order[(k + 1) % len(order)][1]))
+
+
+def test_scores_are_averages_of_vectors():
+    """The scorer's sums against the average of the vectors of all features, word by word."""
+    rng, buckets = np.random.default_rng(2), 1 << 10
+    weights = rng.normal(size=buckets).astype("<f4")
+    scorer = quality.Scorer({"weights": weights.tobytes(), "bias": 0.3, "buckets": buckets}, limit=7)
+    for text in ("", "one", "one one two", " ".join(f"w{i % 9}" for i in range(200)), "x" * 300):
+        words = text.split()
+        found = [f for w in words for f in quality.features(w, buckets)]
+        found += [quality.features("\x00repeat", buckets)[0]] * (8 * sum(a == b for a, b in zip(words, words[1:])))
+        z = 0.3 + (float(np.mean(weights[found].astype(float))) if found else 0.0)
+        assert scorer(text) == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-9)
+
+
 def test_long_words_have_character_features():
     """A text without white space has the n-grams of what it is made of."""
     long = "unspaced" * 20
