@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_crc, rows_of, texts
+from .common import discard, id_crc, rows_of, texts, written
 
 INSULT, THREAT, TARGET, NEGATION, REPORT, OTHER = range(6)
 
@@ -186,80 +186,71 @@ def _beside(found: dict, words: dict) -> dict:
     return out
 
 
-def _may_show(toxic: int, clean: int, m: int):
-    """The test of _shown as a condition over t and c, with a little room for rounding."""
-    share, t, c = toxic / (toxic + clean), F.col("t"), F.col("c")
-    p = t / (t + c)
-    g = 2 * (t * F.log(p / share) + F.when(c > 0, c * F.log((1 - p) / (1 - share))).otherwise(0.0))
-    odds = F.log((t + 0.5) / (toxic + 1)) - F.log((c + 0.5) / (clean + 1))
-    return (g > 2 * math.log(m / 0.2) - 1e-6) & (odds > 3.0 - 1e-6)
-
-
 def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> dict:
     """The learned words and stems and the logistic map, from at most `sample_rows` labelled rows by a hash of their ids;
     equal texts count once.
 
-    Counts by word are added up on the executors; words and stems that pass the test reach the driver, and two numbers a row.
+    The sample is written once. Words and prefixes of its toxic rows that two of them have are tried: their counts are added up on
+    the executors, first in toxic rows, then theirs alone in clean ones. What is tried comes to the driver, bounded by the sample.
     """
     marks = labels.where(F.col("toxic").cast("int").isin(0, 1)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     teach = marks.where(F.pmod(id_crc(F.col("doc_id")), F.lit(4)) != 2).orderBy(F.xxhash64("doc_id"), "doc_id", "toxic").limit(sample_rows)
-    rows = texts(docs).join(F.broadcast(teach), "doc_id").dropDuplicates(["text", "toxic"])
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+    rows = written(texts(docs).join(F.broadcast(teach), "doc_id").dropDuplicates(["text", "toxic"]).select("text", "toxic"), "taught")
+    size = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
+
+    def counts(toxic: int, wanted=None) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: Counter = Counter()
+
+            def out():
+                return pa.record_batch([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+            for batch in batches:
+                for text, _ in rows_of(batch):
+                    own = {w.strip(_EDGE) for w in _CLAUSE.sub(" ", text.lower()).split()} - {""}
+                    own |= {f"{w[:i]}\x00" for w in own for i in range(STEM, len(w) + 1)}
+                    seen.update(own if wanted is None else own & wanted.value)
+                if len(seen) > 500_000:
+                    yield out()
+                    seen = Counter()
+            if seen:
+                yield out()
 
-        def out():
-            keys = list(seen[0].keys() | seen[1].keys())
-            return pa.record_batch([pa.array(keys, pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["word", "t", "c"])
+        return rows.where(F.col("toxic") == toxic).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
-        for batch in batches:
-            for _, text, toxic in rows_of(batch):
-                own = {w.strip(_EDGE) for w in _CLAUSE.sub(" ", text.lower()).split()} - {""}
-                seen[toxic].update(own | {f"{w[:i]}\x00" for w in own for i in range(STEM, len(w) + 1)} | {"\x00"})
-            if len(seen[0]) + len(seen[1]) > 500_000:
-                yield out()
-                seen = (Counter(), Counter())
-        if seen[0] or seen[1]:
-            yield out()
-
-    sums = rows.select("doc_id", "text", "toxic").mapInArrow(count, "word string, t long, c long").groupBy("word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).where("t > 1")
-    sums = sums.cache()
-    try:
-        both = sums.where(F.col("word") == "\x00").first()
-        tried = sums.count()
-        words, stems = lexicon(), {}
-        if both is not None and both["t"] and both["c"]:
-            found = sums.where(F.col("word") != "\x00").where(_may_show(both["t"], both["c"], tried)).collect()
-            for row in found:
-                odds = _shown((row["word"], row["t"], row["c"]), both["t"], both["c"], tried)
-                if odds is None:
-                    continue
-                if row["word"].endswith("\x00"):
-                    stems[row["word"][:-1]] = odds
-                elif row["word"] not in words or words[row["word"]][0] == INSULT:
-                    words[row["word"]] = (INSULT, odds)
-    finally:
-        sums.unpersist()
+    words, stems = lexicon(), {}
+    if len(size) == 2:
+        tried = {r["word"]: r["n"] for r in counts(1).where("n > 1").collect()}
+        clean = {r["word"]: r["n"] for r in counts(0, docs.sparkSession.sparkContext.broadcast(frozenset(tried))).collect()}
+        for word, t in sorted(tried.items()):
+            odds = _shown((word, t, clean.get(word, 0)), size[1], size[0], len(tried))
+            if odds is None:
+                continue
+            if word.endswith("\x00"):
+                stems[word[:-1]] = odds
+            elif word not in words or words[word][0] == INSULT:
+                words[word] = (INSULT, odds)
 
     def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score, seen = Scorer(words, stems), (Counter(), Counter())
         for batch in batches:
-            for _, text, toxic in rows_of(batch):
+            for text, toxic in rows_of(batch):
                 seen[toxic].update(score.beside(text))
         keys = list(seen[0].keys() | seen[1].keys())
         yield pa.record_batch([pa.array([k for k, _ in keys], pa.int32()), pa.array([w for _, w in keys], pa.string()), pa.array([seen[1][k] for k in keys], pa.int64()), pa.array([seen[0][k] for k in keys], pa.int64())], names=["kind", "word", "t", "c"])
 
-    found = rows.select("doc_id", "text", "toxic").mapInArrow(beside, "kind int, word string, t long, c long").groupBy("kind", "word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
+    found = rows.mapInArrow(beside, "kind int, word string, t long, c long").groupBy("kind", "word").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).collect()
     words |= _beside({(r["kind"], r["word"]): (r["t"], r["c"]) for r in found}, words)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = Scorer(words, stems)
         for batch in batches:
-            out = [(*score(text), toxic) for _, text, toxic in rows_of(batch)]
+            out = [(*score(text), toxic) for text, toxic in rows_of(batch)]
             if out:
                 yield pa.record_batch([pa.array(c, pa.float64()) for c in zip(*out)], names=["best", "total", "rate", "toxic"])
 
-    grid = rows.select("doc_id", "text", "toxic").mapInArrow(features, "best double, total double, rate double, toxic double").collect()
+    grid = rows.mapInArrow(features, "best double, total double, rate double, toxic double").collect()
+    discard(rows)
     return {"words": words, "stems": stems, "map": _fit([tuple(r) for r in grid])}
 
 
