@@ -107,8 +107,8 @@ def rows_of(batch, size: int = 256) -> Iterator[tuple]:
         yield from zip(*(c.to_pylist() for c in batch.slice(i, size).columns))
 
 
-def small(df: DataFrame, row_bytes: int, most_mb: int = 64) -> bool:
-    """Whether a written table of rows of about `row_bytes` may be broadcast."""
+def small(df: DataFrame, row_bytes: int, most_mb: int = 24) -> bool:
+    """Whether a written table of rows of about `row_bytes` may be broadcast; as a hash table it takes two or three times that."""
     return df.count() * row_bytes <= most_mb << 20
 
 

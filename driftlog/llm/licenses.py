@@ -155,7 +155,7 @@ def scan(docs: DataFrame, k: int = 3, slack: int = 3, cover: float = 0.7) -> Dat
     spans = runs.groupBy(*keys, "span").agg(F.min("diagonal").alias("start"), (F.max("diagonal") + F.max("size")).alias("end"))
     listed = written(spans.groupBy("doc_id", "th").agg(F.collect_list(F.struct("template", "start", "end")).alias("spans")), "spans")
     side = listed.select(F.col("doc_id").alias("of_id"), F.col("th").alias("of_th"), "spans")
-    side = F.broadcast(side) if small(listed.select(F.explode("spans")), 32, 16) else side
+    side = F.broadcast(side) if small(listed.select(F.explode("spans")), 32) else side
     asked = keyed.join(side, F.col("doc_id").eqNullSafe(F.col("of_id")) & (F.col("th") == F.col("of_th"))).dropDuplicates(["doc_id", "th"]).select("doc_id", "th", "text", "spans")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
