@@ -83,6 +83,16 @@ _STATE = "select *, concat_ws(',', case when c0 > 0 then concat('c0=', cast(c0 a
 FRONTIER = f"select a.* from s a where not exists (select 1 from s b where a.tenant_id = b.tenant_id and a.key = b.key and {BEATS})"
 
 
+#: The fold row by row: `chain` holds what counts after each replica of a key.
+_NEXT_MORE, _NEXT_LESS = "(n.c0 > s.c0 or n.c1 > s.c1 or n.c2 > s.c2)", "(n.c0 < s.c0 or n.c1 < s.c1 or n.c2 < s.c2)"
+_TAKE = f"({_NEXT_MORE} and (not {_NEXT_LESS} or n.ts > s.ts))"
+FOLD_SQL = f"""with n as (select *, row_number() over (partition by tenant_id, key order by node_id) rn, count(*) over (partition by tenant_id, key) cnt from replica_state),
+  chain as (select tenant_id, key, rn, cnt, node_id, ts, c0, c1, c2, false conflict from n where rn = 1
+    union all select n.tenant_id, n.key, n.rn, n.cnt, case when {_TAKE} then n.node_id else s.node_id end, case when {_TAKE} then n.ts else s.ts end, case when {_TAKE} then n.c0 else s.c0 end,
+      case when {_TAKE} then n.c1 else s.c1 end, case when {_TAKE} then n.c2 else s.c2 end, s.conflict or ({_NEXT_MORE} and {_NEXT_LESS}) from chain s join n on n.tenant_id = s.tenant_id and n.key = s.key and n.rn = s.rn + 1)
+  select tenant_id, key, node_id, ts, concat_ws(',', case when c0 > 0 then concat('c0=', cast(c0 as string)) end, case when c1 > 0 then concat('c1=', cast(c1 as string)) end, case when c2 > 0 then concat('c2=', cast(c2 as string)) end) clock, conflict has_conflict from chain where rn = cnt"""
+
+
 def _frontier(live: str) -> str:
     return f"with s as ({_STATE} {live}), f as ({FRONTIER}), w as (select *, row_number() over (partition by tenant_id, key order by ts desc, seq desc, node_id desc) rn, count(*) over (partition by tenant_id, key) nf from f), n as (select tenant_id, key, count(*) n_replicas from s group by tenant_id, key), m as (select tenant_id, key, count(distinct clock) n_maximal from f group by tenant_id, key) "
 
@@ -151,7 +161,7 @@ OPERATORS = {
     "clock_compare_node": (_compared("cmp", clocks.compare_node), f"select a.tenant_id, a.key, a.node_id na, b.node_id nb, case when {_MORE} and {_LESS} then 0 when {_MORE} then 1 when {_LESS} then -1 else 0 end cmp {PAIRS}"),
     "clock_equals": (_compared("same", clocks.equals), f"select a.tenant_id, a.key, a.node_id na, b.node_id nb, a.c0 = b.c0 and a.c1 = b.c1 and a.c2 = b.c2 same {PAIRS}"),
     "conflict_frontier": (lambda s, d: versions.frontier(_state(s, d)).select("tenant_id", "key", "n_maximal", "node_id", "seq", "clock"), _frontier("") + "select w.tenant_id, w.key, m.n_maximal, w.node_id, w.seq, w.clock from w join m on w.tenant_id = m.tenant_id and w.key = m.key where rn = 1"),
-    "conflict_fold": (lambda s, d: versions.fold(_state(s, d), "node_id"), None),
+    "conflict_fold": (lambda s, d: versions.fold(_state(s, d), "node_id"), FOLD_SQL),
     "read_repair_rows": (lambda s, d: _state(s, d).withColumn("own", clocks.shown(F.col("vc"))).select("tenant_id", "key", F.col("node_id").alias("target"), "own").join(versions.frontier(_state(s, d)).where("n_maximal > 1").select("tenant_id", "key", "clock"), ["tenant_id", "key"]).where("own != clock").select("tenant_id", "key", "target", "clock"), _frontier("") + "select s.tenant_id, s.key, s.node_id target, w.clock from s join w on s.tenant_id = w.tenant_id and s.key = w.key and w.rn = 1 join m on m.tenant_id = s.tenant_id and m.key = s.key where m.n_maximal > 1 and s.clock != w.clock"),
     "quorum_read": (lambda s, d: versions.quorum_read(table(s, d, "requests"), table(s, d, "tenants"), _state(s, d)), _frontier("where not is_tombstone") + "select r.tenant_id, r.key, w.value, w.clock, least(coalesce(n.n_replicas, 0), t.replication_factor) replica_count, cast(t.replication_factor div 2 + 1 as bigint) required, least(coalesce(n.n_replicas, 0), t.replication_factor) >= t.replication_factor div 2 + 1 quorum_met, coalesce(m.n_maximal, 0) > 1 has_conflict, n.n_replicas is not null found from (select distinct tenant_id, key from requests) r join tenants t on r.tenant_id = t.tenant_id left join w on w.tenant_id = r.tenant_id and w.key = r.key and w.rn = 1 left join n on n.tenant_id = r.tenant_id and n.key = r.key left join m on m.tenant_id = r.tenant_id and m.key = r.key"),
     "compaction_merge": (lambda s, d: versions.compact(table(s, d, "kv_log")).select("tenant_id", "key", "value", "seq"), f"select tenant_id, key, value, seq from ({LATEST}) x where not dead"),
@@ -159,13 +169,10 @@ OPERATORS = {
     "range_checksum": (lambda s, d: table(s, d, "replica_state").groupBy("node_id", "tenant_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat("key", F.lit("="), F.col("seq").cast("string")))), ","), 256).alias("digest")), "select node_id, tenant_id, sha256(string_agg(concat(key, '=', cast(seq as string)), ',' order by concat(key, '=', cast(seq as string)))) digest from replica_state group by node_id, tenant_id"),
     "log_integrity": (lambda s, d: _log_lines(s, d).select(F.crc32(F.regexp_replace("line", '"Checksum":[0-9]+}$', '"Checksum":0}').cast("binary")).alias("crc"), F.regexp_extract("line", '"Checksum":([0-9]+)}$', 1).cast("long").alias("own"), F.get_json_object("line", "$.SequenceNumber").cast("long").alias("seq")).agg(F.count_if(F.col("crc") == F.col("own")).alias("recovered"), F.count_if(F.col("crc") != F.col("own")).alias("skipped"), F.max("seq").alias("max_seq")), "select count_if(seq % 97 != 0) recovered, count_if(seq % 97 = 0) skipped, max(seq) max_seq from kv_log"),
     "crc32_rows": (lambda s, d: table(s, d, "kv_log").select("seq", F.crc32(F.col("value").cast("binary")).alias("crc")), None),
-    "crc_frame": (lambda s, d: table(s, d, "kv_log").select("seq", scalars.crc_valid(scalars.crc_frame(F.col("value").cast("binary"))).alias("valid")), "select seq, true valid from kv_log"),
     "bloom_sizing": (lambda s, d: s.createDataFrame([(n, *scalars.bloom_size(n, 0.01)) for n in (1_000, 10_000, 1_000_000)], "n long, bits long, hashes long"), "select n, cast(ceil(-n * ln(0.01) / (ln(2) * ln(2))) as bigint) bits, cast(ceil(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / n * ln(2)) as bigint) hashes from (select cast(x as bigint) n from (values (1000), (10000), (1000000)) v(x)) y"),
     "validate_tenant": (lambda s, d: _write_edges(s, d).select("id", F.coalesce(scalars.tenant_error(F.col("t")), F.lit("")).alias("error")), "select * from (values ('ok', ''), ('empty', 'tenant_empty'), ('colon', 'tenant_colon'), ('long', 'tenant_too_long'), ('null', 'tenant_empty')) v(id, error)"),
-    "validate_key": (lambda s, d: table(s, d, "requests").select("request_id", scalars.key_error(F.col("key")).isNull().alias("valid")), "select request_id, true valid from requests"),
     "validate_value": (lambda s, d: table(s, d, "requests").select("request_id", scalars.value_error(F.col("value"), 60).isNull().alias("valid")), "select request_id, octet_length(value) <= 60 valid from requests"),
     "validate_write": (lambda s, d: _write_edges(s, d).select("id", F.coalesce(scalars.write_error(F.col("t"), F.col("k"), F.col("v")), F.lit("")).alias("error")), "select * from (values ('ok', ''), ('empty', 'tenant_empty'), ('colon', 'tenant_colon'), ('long', 'tenant_too_long'), ('null', 'tenant_empty')) v(id, error)"),
-    "validate_clock": (lambda s, d: _state(s, d).select("node_id", "tenant_id", "key", (F.size("vc") <= 1000) & F.forall(F.map_values("vc"), lambda v: v >= 0)).toDF("node_id", "tenant_id", "key", "valid"), "select node_id, tenant_id, key, true valid from replica_state"),
 }
 
 

@@ -107,6 +107,19 @@ def _replay(spark, d):
     return versions.latest(rows.select("tenant_id", "key", "value", "seq"))
 
 
+def _framed(spark, d):
+    """Frames of which every fifth is damaged: whether their checksums hold."""
+    frame = scalars.crc_frame(F.col("value").cast("binary"))
+    damaged = F.when(F.col("seq") % 5 == 0, F.concat(frame, F.lit(bytearray(b"x")))).otherwise(frame)
+    return table(spark, d, "kv_log").select("seq", scalars.crc_valid(damaged).alias("valid"))
+
+
+def _keys_checked(spark, d):
+    key, turn = F.col("key"), F.col("request_id") % 4
+    odd = F.when(turn == 0, key).when(turn == 1, F.concat(key, F.lit("\x07"))).when(turn == 2, F.repeat(key, 600)).otherwise("")
+    return table(spark, d, "requests").select("request_id", F.coalesce(scalars.key_error(odd), F.lit("")).alias("error"))
+
+
 def _sanitized(spark, d):
     dirty = F.concat(F.lit(" \x01"), "tenant_id", F.lit(":"), F.lit("ééé€"), "key", F.lit(" \t"))
     return table(spark, d, "keys").select("tenant_id", "key", *[rules.sanitize_tenant(dirty, n).alias(f"cut_{n}") for n in (3, 5, 9, 256)], rules.sanitize_key(dirty, 1024).alias("whole"))
@@ -194,6 +207,8 @@ OPERATORS = {
     "cache_evict": (_evicted, "select tenant_id, key, n from (select *, sum(bytes) over (order by n desc, tenant_id, key rows between unbounded preceding and current row) used from (select tenant_id, key, count(*) n, max(octet_length(value)) + 64 bytes from kv_log group by tenant_id, key) y) x where used > 8192"),
     "ttl_cache": (lambda s, d: hints.ttl_cache(table(s, d, "kv_log").select(F.concat("tenant_id", F.lit(":"), "key").alias("key"), F.col("ts").alias("stored_at")), AS_OF, 400_000, 50).select("key", "stored_at"), f"select key, stored_at from (select concat(tenant_id, ':', key) key, max(ts) stored_at from kv_log where {AS_OF} - ts <= 400000 group by concat(tenant_id, ':', key)) x order by stored_at desc, key limit 50"),
     "bloom_filter": (_blooms, "select count(*) n_held, true few_others from keys"),
+    "crc_frame": (_framed, "select seq, seq % 5 <> 0 valid from kv_log"),
+    "validate_key": (_keys_checked, "select request_id, case request_id % 4 when 0 then '' when 1 then 'key_control' when 2 then 'key_too_long' else 'key_empty' end error from requests"),
     # metadata
     "tenant_occ_update": (lambda s, d: metadata.update_factor(table(s, d, "tenants"), _factor_changes(s, d)), "select t.tenant_id, case when outcome = 'updated' then rf else replication_factor end replication_factor, case when outcome = 'updated' then asked else version end version, replication_factor old_factor, outcome from (select t.*, u.rf, u.asked, case when u.rf > 10 then 'invalid' when u.rf = t.replication_factor then 'unchanged' when u.asked = t.version + 1 then 'updated' else 'conflict' end outcome from tenants t join (values ('t0', 3, 2), ('t1', 3, 5), ('t2', 11, 2), ('t3', 3, 3)) u(tenant_id, rf, asked) on t.tenant_id = u.tenant_id) t"),
     "tenant_insert": (lambda s, d: metadata.remove(metadata.insert(table(s, d, "tenants"), s.sql("select * from values ('t3', 9, 1), ('t9', 2, 1) as v(tenant_id, replication_factor, version)"), "tenant_id"), s.sql("select 't0' tenant_id"), "tenant_id").select("tenant_id", "replication_factor", "version"), "select tenant_id, replication_factor, version from tenants where tenant_id <> 't0' union all select 't9', 2, 1"),
