@@ -17,7 +17,6 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from .common import new_path, rows_of, texts
 from .tokenizing import cached, default_path

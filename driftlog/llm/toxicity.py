@@ -7,7 +7,7 @@ clause counts more), negation (an insult or threat within three words after a ne
 a reporting word, to the end of the clause, it is quoted). The machine's weight for a clause is the largest along its path;
 words are never scored outside a clause.
 
-The lexicon has fixed English words and what labelled rows teach: words, and prefixes of words of three characters or more, that
+The lexicon has fixed English words and what labelled rows teach: words, and prefixes of words of 3 to 64 characters, that
 toxic rows have far more often (a word takes the strongest of its prefixes). Terms of other languages for targets, negation and
 reporting are taken up where labelled rows show it: where insults and threats that stand behind them are more, or less, often in
 toxic rows than others. Only rows whose crc32(doc_id) mod 4 is not 2 teach, at most `sample_rows` of them.
@@ -45,7 +45,8 @@ ELSEWHERE = {
     NEGATION: "nicht kein keine keinen nie niemals ohne ne pas jamais aucun aucune sans no nunca jamás ningún ninguna sin",
     REPORT: "sagte sagt schrieb nannte laut angeblich dit disait selon appelé prétend dijo dice escribió llamó según",
 }
-STEM = 3
+#: Characters of a prefix, at least and at most; words of any length teach as wholes.
+STEM, LONGEST = 3, 64
 
 _CLAUSE = re.compile(r"[.!?;\n]+")
 _ELSEWHERE = {kind: frozenset(terms.split()) for kind, terms in ELSEWHERE.items()}
@@ -117,9 +118,10 @@ class Scorer:
                 key = word.strip(_EDGE)
                 found = scorer.words.get(key)
                 if not found and key[:STEM] in firsts:
-                    odds = max((scorer.stems[key[:i]] for i in range(STEM, len(key) + 1) if key[:i] in scorer.stems), default=0.0)
+                    odds = max((scorer.stems[key[:i]] for i in range(STEM, min(len(key), LONGEST) + 1) if key[:i] in scorer.stems), default=0.0)
                     found = (INSULT, odds) if odds else None
-                self[word] = found
+                if len(word) <= LONGEST:
+                    self[word] = found
                 return found
 
         self.classes = Classes()
@@ -208,7 +210,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample_rows: int = 20_000) -> dict
             for batch in batches:
                 for text, _ in rows_of(batch):
                     own = {w.strip(_EDGE) for w in _CLAUSE.sub(" ", text.lower()).split()} - {""}
-                    own |= {f"{w[:i]}\x00" for w in own for i in range(STEM, len(w) + 1)}
+                    own |= {f"{w[:i]}\x00" for w in own for i in range(STEM, min(len(w), LONGEST) + 1)}
                     seen.update(own if wanted is None else own & wanted.value)
                 if len(seen) > 500_000:
                     yield out()

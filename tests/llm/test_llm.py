@@ -531,6 +531,14 @@ def test_terms_beside_insults_are_learned(spark):
     assert model["words"]["jamais"][0] == toxicity.NEGATION and long in model["words"] and "pas" not in model["words"]
 
 
+def test_one_long_word_costs_no_more_than_its_length(spark):
+    """A text without white space teaches and is scored without all of its prefixes."""
+    ids = [i for i in range(400) if crc(i, 4) != 2][:200]
+    frame = spark.createDataFrame([(i, ("q" * 400_000 if k < 20 else f"plain words {i}"), int(k < 20)) for k, i in enumerate(ids)], "doc_id long, text string, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(frame.select("doc_id", "text"), frame.select("doc_id", "toxic")).collect()}
+    assert len(got) == 200 and not any(got[i] for i in ids[20:])
+
+
 def test_grammar():
     score = toxicity.Scorer(toxicity.lexicon(), {"lowei": 5.0})
     plain, aimed, negated, quoted = (score(t)[0] for t in ("an idiot", "you idiot", "not an idiot", "she said an idiot"))
